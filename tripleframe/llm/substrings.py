@@ -81,8 +81,9 @@ def repeated_substrings(docs: DataFrame, width: int = 50) -> DataFrame:
         raise ValueError("width must be at least 1")
     source = pick(docs, doc_id="long", text="string").where("doc_id is not null and text is not null")
     runs = source.mapInArrow(_runs(width), RUNS).repartition("anchor")
-    # doc_id and start are counted too, so that both uses of the runs have the same columns and share one exchange
-    seen = runs.withColumn("h", F.explode("hashes")).groupBy("anchor", "h").agg(F.count("doc_id").alias("n"), F.count("start").alias("m"))
+    # both uses of the runs must have the same columns and filters to share one exchange: so doc_id and start are counted
+    # too, and explode_outer is for explode, which would filter (runs are never empty)
+    seen = runs.withColumn("h", F.explode_outer("hashes")).groupBy("anchor", "h").agg(F.count("doc_id").alias("n"), F.count("start").alias("m"))
     often = seen.where("n > 1 and m > 1").groupBy("anchor").agg(F.collect_list("h").alias("often"))
     marked = runs.join(often.hint("shuffle_hash"), "anchor").select(
         "doc_id", "start", F.transform("hashes", lambda h: F.array_contains("often", h)).alias("hit")
