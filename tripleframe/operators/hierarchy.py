@@ -15,18 +15,18 @@ KINDS = {SKOS.Concept: "concept", SKOS.ConceptScheme: "scheme", SKOS.Collection:
 
 
 class Hierarchy:
-    """Built of statements (subject, predicate, object, pos). Labels, notations and scheme facts only count where the
-    subject was declared at an earlier position; edges always do."""
+    """Built of statements (subject, predicate, object, pos, seq). Labels, notations and scheme facts only count where the
+    subject was declared by an earlier statement; edges always do."""
 
     def __init__(self, statements: DataFrame):
         self.statements = statements
 
     @cached_property
     def nodes(self) -> DataFrame:
-        """(iri, kind, pos): where each node is declared first."""
+        """(iri, kind, at): where each node is declared first, by position and number."""
         kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
         typed = self.statements.where((F.col("predicate") == TYPE) & F.col("object").isin(*KINDS))
-        return typed.groupBy(F.col("subject").alias("iri"), kind[F.col("object")].alias("kind")).agg(F.min("pos").alias("pos"))
+        return typed.groupBy(F.col("subject").alias("iri"), kind[F.col("object")].alias("kind")).agg(F.min(F.struct("pos", "seq")).alias("at"))
 
     def _pairs(self, *predicates: str) -> DataFrame:
         return self.statements.where(F.col("predicate").isin(*predicates) & (F.col("object") != "")).select(F.col("subject").alias("src"), F.col("object").alias("dst"), "pos")
@@ -55,9 +55,9 @@ class Hierarchy:
 
     def facts(self, predicate: str) -> DataFrame:
         """(iri, value): of nodes that were declared earlier."""
-        own = self.statements.where(F.col("predicate") == predicate).select(F.col("subject").alias("s"), F.col("object").alias("value"), F.col("pos").alias("at"))
-        first = self.nodes.groupBy("iri").agg(F.min("pos").alias("pos"))
-        return own.join(first, (F.col("s") == F.col("iri")) & (F.col("pos") < F.col("at"))).select("iri", "value")
+        own = self.statements.where(F.col("predicate") == predicate).select(F.col("subject").alias("s"), F.col("object").alias("value"), F.struct("pos", "seq").alias("said"))
+        first = self.nodes.groupBy("iri").agg(F.min("at").alias("at"))
+        return own.join(first, (F.col("s") == F.col("iri")) & (F.col("at") < F.col("said"))).select("iri", "value")
 
     def all_broader(self, iri: str) -> DataFrame:
         return self.ancestors.where((F.col("src") == iri) & (F.col("dst") != iri)).select(F.col("dst").alias("iri"))
