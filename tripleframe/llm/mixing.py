@@ -156,4 +156,5 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block:
     base = offsets.select("source", "part", "offset")
     base = F.broadcast(base) if base.count() <= SMALL else base
     indexed = blocks.join(base, ["source", "part"]).select("source", (F.col("offset") + F.col("seq")).alias("block"), "n_tokens", "doc_ids", "tokens")
-    return taken.join(indexed, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "doc_ids", "tokens")
+    # the slots are as many as the blocks: both sides are shuffled, whatever a plan takes the slots' size for
+    return taken.hint("shuffle_hash").join(indexed, ["source", "block"]).select("shard", "slot", "source", "epoch", "block", "n_tokens", "doc_ids", "tokens")
