@@ -188,7 +188,7 @@ def lm_scores(docs: DataFrame, vocabulary: str = f"{FOLDER}/{PIECES}", smoothing
                 size, length = np.diff(at), np.fromiter((len(w.encode()) + 1 for w in distinct), np.int64, len(distinct))
                 score = lattice.score_words(distinct)
                 doc = np.repeat(np.arange(len(size)), size)
-                total = np.bincount(doc, score[code], minlength=len(size))
+                total = np.bincount(doc, score[code], minlength=len(size)).astype(float)
                 many = np.bincount(doc, length[code], minlength=len(size))
                 null, none = np.asarray(text.is_null()), size == 0
                 yield pa.RecordBatch.from_arrays([
