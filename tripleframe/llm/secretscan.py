@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from tripleframe.llm.common import pick, slices
 from tripleframe.llm.vocabulary import FOLDER, TIKTOKEN, encoder
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_.@-]*@)")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.@-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_.@-]*@)")
 HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGESTS = {32, 40, 56, 64, 96, 128}
 #: what a digest is assigned to, or follows, when it is a credential after all
