@@ -67,7 +67,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id").filter(some), *[pa.array(sign[size > 0, k].view(np.int64)) for k in range(WORDS)]], ["doc_id", "s0", "s1", "s2", "s3"])
 
 
-def tables(n: int, near: float = 0.1, miss: float = 0.02) -> tuple[int, int]:
+def tables(n: int, near: float = 0.14, miss: float = 0.02) -> tuple[int, int]:
     """Trie levels walked with no error allowed, and permuted tries, for n signatures.
 
     The levels grow with log2(n), so that subtrees stay small; the tries grow with them, so that a pair that differs in
@@ -184,9 +184,10 @@ def _join(depth: int, budget: int, forest: bool):
     """Edges of the subtrees in a partition: all pairs with their distance, or of each component a star."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         trie, head, ids = (table.column(c).to_numpy() for c in ("trie", "head", "doc_id"))
         packed = np.stack([table.column(f"s{k}").to_numpy() for k in range(WORDS)], 1)
         for t in np.unique(trie):
