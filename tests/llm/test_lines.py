@@ -1,0 +1,72 @@
+from __future__ import annotations
+
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tripleframe.llm.lines import BLANKS, build, counted, drop_repeated_lines, lookup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def brute(rows, least, share=0.5):
+    counts = Counter(x for _, t, *_ in rows if t is not None for line in t.split("\n") if (x := line.strip(BLANKS)))
+    out = []
+    for doc, text, lang, source, n in rows:
+        if text is not None:
+            lines = text.split("\n")
+            hit = [counts[x.strip(BLANKS)] >= least for x in lines]
+            gone = sum(len(x.strip(BLANKS)) for x, h in zip(lines, hit) if h)
+            if any(hit) and gone <= share * sum(len(x.strip(BLANKS)) for x in lines):
+                text = "\n".join(x for x, h in zip(lines, hit) if not h)
+                n = len(text)
+        out.append((doc, text, lang, source, n))
+    return sorted(out, key=repr)
+
+
+def run(spark, rows, least, **kw):
+    return sorted(map(tuple, drop_repeated_lines(spark.createDataFrame(rows, SCHEMA), least, **kw).collect()), key=repr)
+
+
+def test_against_brute_force(spark):
+    r = random.Random(2)
+    pool = [f"line number {i} " + "é" * (i % 4) for i in range(30)]
+    rows = [(i, "\n".join(r.choice(pool) if r.random() < 0.3 else f"own {r.random()}" for _ in range(r.randrange(1, 12))), "en", "s", 1) for i in range(60)]
+    for least in (2, 4):
+        assert run(spark, rows, least) == brute(rows, least)
+
+
+def test_edges(spark):
+    assert run(spark, [], 2) == []
+    rows = [(1, None, None, None, None), (None, "a\nlonger line here", "en", None, 3), (2, "", "en", "s", 0), (3, "\n\n", "en", "s", 2), (4, "a\nanother long line", "en", "s", 5), (4, "a\nanother long line", "en", "s", 5), (5, " a \r\nlast of the long lines", "en", "s", 7)]
+    got = run(spark, rows, 3)
+    assert got == brute(rows, 3)
+    assert (1, None, None, None, None) in got and (2, "", "en", "s", 0) in got and (3, "\n\n", "en", "s", 2) in got
+    with pytest.raises(ValueError):
+        run(spark, rows, 0)
+
+
+def test_copies_stay_whole(spark):
+    rows = [(i, "one line\nand two\nand three", "en", "s", 26) for i in range(5)]
+    assert run(spark, rows, 2) == sorted(rows)
+
+
+def test_long_text_and_clashing_columns(spark):
+    long = "\n".join(f"line {i}" for i in range(30000))
+    df = spark.createDataFrame([(1, long + "\nhot", "k", 1, 2), (2, "hot\nsomething of its own", "k", 3, 4)], "doc_id long, text string, tf_key string, h long, pos int")
+    got = {r.doc_id: r for r in drop_repeated_lines(df, 2).collect()}
+    assert got[1].text == long and got[2].text == "something of its own" and got[2].h == 3 and got[1].tf_key == "k"
+
+
+def test_perfect_hash():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000, 50000):
+        keys = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        counts = r.integers(1, 100000, len(keys))
+        t = build(keys, counts)
+        assert sorted(lookup(keys, t).tolist()) == list(range(len(keys))), "minimal and perfect"
+        assert (counted(keys, t) == np.minimum(counts, 65535)).all()
+        others = r.integers(0, 1 << 63, 1000).astype(np.uint64)
+        assert (counted(others[~np.isin(others, keys)], t) > 0).mean() < 0.001
