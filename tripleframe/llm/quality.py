@@ -159,19 +159,22 @@ def _fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray,
     return head
 
 
+def _distinct(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct features of one text, each with the sum of its weights."""
+    _, feature, weight = features(pa.array([text]))
+    feature, inverse = np.unique(feature, return_inverse=True)
+    return feature.astype(np.int32), np.bincount(inverse, weight, minlength=len(feature)).astype(np.float32)
+
+
 def fit(rows: list[tuple[str, int, int]], chosen: tuple[tuple[int, float], ...] = ((3000, 4.0), (1000, 5.0))) -> tuple[Head, Head]:
     """Heads for quality and for toxic, of (text, quality, toxic) rows; every fifth row calibrates.
 
     `chosen`: for each head, the most features and the least z of a feature.
     """
-    table = [features(pa.array([t])) for t, _, _ in rows]
-    doc = np.concatenate([np.full(len(f), i) for i, (_, f, _) in enumerate(table)]) if rows else np.zeros(0, np.int64)
-    key = doc * (3 << BITS) + (np.concatenate([f for _, f, _ in table]) if rows else 0)
-    value = np.concatenate([v for *_, v in table]) if rows else np.zeros(0)
+    table = [_distinct(t) for t, _, _ in rows]
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f, _ in table])
+    feature, value = (np.concatenate([np.zeros(0, k), *(x[i] for x in table)]) for i, k in enumerate((np.int32, np.float32)))
     del table
-    key, inverse = np.unique(key, return_inverse=True)
-    value = np.bincount(inverse, value, minlength=len(key))
-    doc, feature = key // (3 << BITS), key % (3 << BITS)
     train = np.arange(len(rows)) % 5 != 0
     return tuple(_fit(doc, feature, value, np.array([r[k] for r in rows], float), train, *most) for k, most in zip((1, 2), chosen))
 
