@@ -95,9 +95,7 @@ class Compiler:
             maybe = a.maybe | {v for v in b.names if v not in a.names}
         extras = {**{v: x for v, x in b.extras.items()}, **a.extras}
         taken = set(a.columns())
-        right = b.df.select(*[F.col(c).alias(f"r_{c}") if c in taken else F.col(c) for c in b.columns()], *(["r_none"] if "r_none" in b.df.columns else []))
-        if not b.columns():
-            right = b.df.select(F.lit(1).alias(self.unique()))
+        right = b.df.select(*([F.col(c).alias(f"r_{c}") if c in taken else F.col(c) for c in b.columns()] or [F.lit(1).alias(self.unique())]))
         conditions = []
         for v in shared:
             x, y = F.col(a.names[v]), F.col(f"r_{b.names[v]}")
