@@ -10,7 +10,7 @@ from tripleframe.operators import metadata, rdfs, skos
 from tripleframe.operators.closure import closure
 from tripleframe.operators.graphview import GraphView
 from tripleframe.operators.hierarchy import Hierarchy
-from tripleframe.operators.rules import RuleEngine
+from tripleframe.operators.rules import RuleEngine, shown
 from tripleframe.operators.validation import Validator
 from tripleframe.plans.engine import Engine
 from tripleframe.sources.reader import statements_of_text
@@ -119,6 +119,7 @@ def test_rules_and_hierarchy(spark):
     where = engine.facts_with(EX + "mid", SKOS.broader).first().provenance
     assert where.source_file == "v.ttl" and where.line == 5 and where.column == 1
     assert engine.inconsistencies.count() == 0
+    assert f"{EX}mid {SKOS.broader} {EX}top [v.ttl:5:1]" in [r.text for r in shown(engine.facts).collect()]
     h = Hierarchy(rows)
     assert pairs(h.all_broader(EX + "low"), "iri") == [(EX + "mid",), (EX + "top",)]
     assert pairs(h.all_narrower(EX + "top"), "iri") == [(EX + "low",), (EX + "mid",)]

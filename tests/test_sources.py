@@ -136,3 +136,17 @@ def test_sinks(spark, tmp_path):
     assert s.answer("/api/sparql?query=ASK")[0] == 400 and s.answer("/api/sparql")[0] == 400 and s.answer("/nothing")[0] == 404
     copy_file(str(tmp_path / "site/index.html"), str(tmp_path / "x/y.html"))
     assert (tmp_path / "x/y.html").exists()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tripleframe.__main__ import main
+
+    f = tmp_path / "v.ttl"
+    f.write_text(f"@prefix skos: <{SKOS}> .\n" + P + ":c a skos:Concept ; skos:broader :c ; skos:inScheme :lost .")
+    assert main(["validate", str(f), "--severity", "error"], spark) == 1
+    shown = capsys.readouterr().out
+    assert "circular_broader_relation" in shown and "missing_notation" not in shown
+    assert main(["query", str(f), "--query", f"SELECT ?x WHERE {{ ?x <{SKOS.broader}> ?x }}"], spark) == 0
+    assert json.loads(capsys.readouterr().out) == {"x": EX + "c"}
+    assert main(["graph", str(f), "--imports"], spark) == 0 and json.loads(capsys.readouterr().out)["edges"]
+    assert main(["site", str(f), "--folder", str(tmp_path / "out")], spark) == 0 and (tmp_path / "out/index.html").exists()

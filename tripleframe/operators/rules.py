@@ -109,6 +109,9 @@ class RuleEngine:
     def add_fact(self, rows: DataFrame) -> None:
         self.facts = self.facts.unionByName(rows)
 
+    def add_inconsistency(self, rows: DataFrame) -> None:
+        self.inconsistencies = self.inconsistencies.unionByName(rows)
+
     def run(self, cancelled: Callable[[], bool] = lambda: False) -> DataFrame:
         for rule in self.rules.values():
             if cancelled():
@@ -117,7 +120,7 @@ class RuleEngine:
             if facts is not None:
                 self.add_fact(facts)
             if clashes is not None:
-                self.inconsistencies = self.inconsistencies.unionByName(clashes)
+                self.add_inconsistency(clashes)
         return self.facts
 
     def facts_with(self, subject: str = "", predicate: str = "", obj: str = "") -> DataFrame:
@@ -126,3 +129,11 @@ class RuleEngine:
             if value:
                 df = df.where(F.col(name) == value)
         return df
+
+
+def shown(facts: DataFrame) -> DataFrame:
+    """(text): each fact as a line, with where it comes from."""
+    p = F.col("provenance")
+    where = F.when(p.isNotNull(), F.format_string(" [%s:%d:%d]", p["source_file"], p["line"], p["column"])).otherwise("")
+    kind = F.when(F.col("derived"), " (derived)").otherwise("")
+    return facts.select(F.concat(F.col("subject"), F.lit(" "), F.col("predicate"), F.lit(" "), F.col("object"), kind, where).alias("text"))
