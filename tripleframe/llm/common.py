@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,11 +9,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripleframe.runtime import shared_dir
+
 SLICE_BYTES = 16 << 20
-MASK = (1 << 64) - 1
 
 
 def pick(df: DataFrame, **kinds: str) -> DataFrame:
@@ -36,22 +36,6 @@ def private(docs: DataFrame, name: str) -> str:
     return k
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getConf().get("spark.checkpoint.dir", "")
-    if not at:
-        given = sc._jsc.sc().getCheckpointDir()
-        if given.isDefined():
-            return given.get()
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="tripleframe-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(at)
-    return at
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, lineage cut, columns read as needed."""
     spark = df.sparkSession
@@ -60,11 +44,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -146,7 +125,3 @@ def spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     end = np.cumsum(count)
     total = int(end[-1]) if len(end) else 0
     return np.arange(total) - np.repeat(end - count - start, count)
-
-
-def bucket(column: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,7 +94,8 @@ def draw(shard: int, size: int, weights: np.ndarray, seed: int) -> tuple[np.ndar
 
 
 def key_of(seed: int, source: str, epoch: int) -> int:
-    return int(mix(np.array([(seed * 1_000_003 + epoch) ^ int.from_bytes(source.encode()[:8].ljust(8, b"\0"), "little") ^ sum(source.encode())], np.uint64))[0] >> np.uint64(8))
+    """The key of a source's permutation in an epoch."""
+    return xxhash.xxh3_64_intdigest(f"{seed} {epoch} {source}")
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, shard_blocks: int = SHARD, shards: int | None = None, seed: int = SEED, vocabulary: str = f"{FOLDER}/{TIKTOKEN}") -> DataFrame:

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleframe.llm.common import SLICE_BYTES, checkpointed, hash64, like, mix, pick, private, slices, words, written
+from tripleframe.llm.common import SLICE_BYTES, hash64, like, mix, pick, private, slices, words, written
+from tripleframe.runtime import cut
 
 BITS, WORDS = 256, 4
 BUDGET = 48
@@ -237,14 +238,14 @@ def near_pairs(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, top): the least node of each node's component, for nodes with an edge."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
-    label = checkpointed(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("top")).select(F.col("a").alias("node"), "top"))
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
+    label = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("top")).select(F.col("a").alias("node"), "top"))
     while True:
         near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("top").alias("least"))
         step = label.join(near, F.col("a") == F.col("node")).select("node", "top", F.least("top", "least").alias("next"))
         jump = label.select(F.col("node").alias("n2"), F.col("top").alias("t2"))
         step = step.join(jump, F.col("next") == F.col("n2"), "left").select("node", "top", F.least("next", F.coalesce("t2", "next")).alias("next"))
-        step = checkpointed(step)
+        step = cut(step)
         if step.where("next <> top").isEmpty():
             return step.select("node", "top")
         label = step.select("node", F.col("next").alias("top"))
