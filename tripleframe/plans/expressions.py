@@ -12,7 +12,7 @@ from tripleframe.functions.terms import is_blank, is_uri
 from tripleframe.model import RDF
 from tripleframe.plans.ir import Call, Iri, Literal, Term, Var
 
-#: of a pattern: what the reference dialect (linear-time regular expressions) does not have
+#: of a pattern: what linear-time regular expressions do not have
 FOREIGN = re.compile(r"\(\?[=!]|\(\?<[=!]|\(\?>|\\[1-9]|[*+?}]\+")
 
 
