@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleframe.model import SKOS, TRIPLE_SCHEMA, TYPE, XSD, triples
+from tripleframe.model import SKOS, TRIPLE_SCHEMA, TYPE, XSD
 
 E = "http://example.org/"
 V = E + "v/"
@@ -30,22 +30,30 @@ class Fact:
     where: str | None = None
 
     def select(self, table: DataFrame, graph: str) -> DataFrame:
-        df = table.where(self.where) if self.where else table
-        df = df.select(
-            fill(self.subject).alias("subject"), F.lit(self.predicate).alias("predicate"), fill(self.object).alias("object"),
-            F.lit(self.literal).alias("is_literal"), F.lit(self.datatype).cast("string").alias("datatype"),
-        )
-        return triples(df.where("subject is not null and object is not null"), graph)
+        """Rows of which a hole's column is null have no triple: tests on columns, which the scan can push down."""
+        needed = dict.fromkeys(HOLE.findall(self.subject) + HOLE.findall(self.object))
+        tests = [f"{c} is not null" for c in needed] + ([f"({self.where})"] if self.where else [])
+        given = {
+            "subject": fill(self.subject), "predicate": text(self.predicate), "object": fill(self.object), "graph": text(graph),
+            "is_literal": str(self.literal).lower(), "datatype": text(self.datatype) if self.datatype else "null", "is_triple_term": "false",
+        }
+        df = table.where(" and ".join(tests)) if tests else table
+        # expressions as text: one call for the whole select, as plans of many facts are built for every query
+        return df.selectExpr(*[f"cast({given.get(f.name, 'null')} as {f.dataType.simpleString()}) as {f.name}" for f in TRIPLE_SCHEMA])
 
 
-def fill(template: str) -> Column:
-    """The template with its holes filled; null where a column is null."""
+def text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def fill(template: str) -> str:
+    """The template with its holes filled, as an SQL expression."""
     parts, at = [], 0
     for m in HOLE.finditer(template):
-        parts += [F.lit(template[at : m.start()])] * (m.start() > at) + [F.col(m[1]).cast("string")]
+        parts += [text(template[at : m.start()])] * (m.start() > at) + [f"cast({m[1]} as string)"]
         at = m.end()
-    parts += [F.lit(template[at:])] * (at < len(template) or not parts)
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+    parts += [text(template[at:])] * (at < len(template) or not parts)
+    return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
 
 
 @dataclass
@@ -56,6 +64,7 @@ class Mapping:
     tables: Callable[[str], DataFrame]
     graph: str = "default"
     _read: dict[str, DataFrame] = field(default_factory=dict)
+    _made: dict[str | None, DataFrame] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         if name not in self._read:
@@ -64,10 +73,11 @@ class Mapping:
 
     def triples(self, predicate: str | None = None) -> DataFrame:
         """All virtual triples, or those that can have the predicate: other tables are not even planned."""
-        chosen = [f for f in self.facts if predicate is None or f.predicate == predicate]
-        if not chosen:
-            return self.table(self.facts[0].table).sparkSession.createDataFrame([], TRIPLE_SCHEMA)
-        return reduce(DataFrame.unionByName, (f.select(self.table(f.table), self.graph) for f in chosen))
+        if predicate not in self._made:
+            chosen = [f for f in self.facts if predicate is None or f.predicate == predicate]
+            parts = [f.select(self.table(f.table), self.graph) for f in chosen]
+            self._made[predicate] = reduce(DataFrame.union, parts) if parts else self.table(self.facts[0].table).sparkSession.createDataFrame([], TRIPLE_SCHEMA)
+        return self._made[predicate]
 
 
 def star_facts() -> list[Fact]:

@@ -37,7 +37,7 @@ class TripleStore:
     def all(self, predicate: str | None = None) -> DataFrame:
         """All triples; those of mappings can be narrowed to a predicate before planning."""
         parts = [g.triples(predicate) if isinstance(g, Mapping) else g for _, g in sorted(self.graphs.items())]
-        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], TRIPLE_SCHEMA)
+        return reduce(DataFrame.union, parts) if parts else self.spark.createDataFrame([], TRIPLE_SCHEMA)
 
     def match(self, subject: str = "", predicate: str = "", obj: str = "") -> DataFrame:
         """Triples with the given terms; "" is any."""
