@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripleframe.llm.common import hash64, mix, pick, powers, ragged, slices, words
+from tripleframe.llm.common import SLICE_BYTES, hash64, mix, pick, powers, ragged, slices, words
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -40,7 +40,7 @@ def _runs(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES // 4):
                 at, distinct, code = words(part.column("text"))
                 size = np.diff(at)
                 count = np.maximum(size - width + 1, 0)
