@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tripleframe.model import FACT_SCHEMA, INCONSISTENCY_SCHEMA, PROVENANCE, SKOS
 from tripleframe.operators.hierarchy import Hierarchy
+from tripleframe.operators.skos import targets
 
 
 @dataclass
@@ -67,8 +68,8 @@ def transitive_exact_match(c: Context):
     """Each target d of a match of s with every subject of a match other than s and d, both ways, as sets."""
     e = _source(c, SKOS.exactMatch)
     subjects = e.select(F.col("subject").alias("o")).distinct()
-    pairs = e.select("subject", F.col("object").alias("d")).distinct().join(subjects, (F.col("o") != F.col("subject")) & (F.col("o") != F.col("d")))
-    pairs = pairs.where(~F.col("d").contains("|") & ~F.col("o").contains("|")).select("d", "o").distinct()
+    pairs = targets(e).join(subjects, (F.col("o") != F.col("d")) & (F.col("many") | (F.col("o") != F.col("only"))))
+    pairs = pairs.where(~F.col("d").contains("|") & ~F.col("o").contains("|")).select("d", "o")
     out = [pairs.select(*_fact(a, SKOS.exactMatch, b, True, nowhere())) for a, b in (("d", "o"), ("o", "d"))]
     return reduce(DataFrame.unionByName, [e.select(*_fact("subject", SKOS.exactMatch, "object", False, provenance())), *out]), None
 

@@ -50,10 +50,16 @@ def symmetric(df: DataFrame) -> DataFrame:
     return edges(df, SKOS.related).select("subject", "object").distinct().select(*inferred("object", SKOS.related, "subject", ""))
 
 
+def targets(e: DataFrame) -> DataFrame:
+    """(d, only, many): each object, with its least subject and whether it has others."""
+    return e.groupBy(F.col("object").alias("d")).agg(F.min("subject").alias("only"), (F.min("subject") < F.max("subject")).alias("many"))
+
+
 def exact_match(df: DataFrame, max_pairs: int | None = None) -> DataFrame:
     """Each target d of a match of s with every endpoint o other than s and d, and the reverse.
 
-    This grows with edges times endpoints; `max_pairs` raises beyond that product instead of starting it.
+    A target of two subjects or more goes with every other endpoint, so pairs are made once, targets times endpoints.
+    `max_pairs` raises beyond edges times endpoints instead of starting it.
     """
     e = edges(df, SKOS.exactMatch).select("subject", "object")
     ends = e.select(F.explode(F.array("subject", "object")).alias("o")).distinct()
@@ -61,7 +67,7 @@ def exact_match(df: DataFrame, max_pairs: int | None = None) -> DataFrame:
         n = e.count() * ends.count()
         if n > max_pairs:
             raise ValueError(f"exactMatch would compare {n} pairs")
-    pairs = e.select("subject", F.col("object").alias("d")).distinct().join(ends, (F.col("o") != F.col("subject")) & (F.col("o") != F.col("d"))).select("d", "o").distinct()
+    pairs = targets(e).join(ends, (F.col("o") != F.col("d")) & (F.col("many") | (F.col("o") != F.col("only")))).select("d", "o")
     return pairs.select(*inferred("d", SKOS.exactMatch, "o", "")).unionByName(pairs.select(*inferred("o", SKOS.exactMatch, "d", "")))
 
 

@@ -37,9 +37,9 @@ VOCABULARY = [
     Fact("supplier", SUPPLIER, TYPE, SKOS.Collection, where="s_suppkey % 2 = 0"),
 ]
 MATCHES = [
-    Fact("supplier", SUPPLIER, SKOS.exactMatch, E + "nation/{s_nationkey}", where="s_suppkey <= 60"),
+    Fact("supplier", SUPPLIER, SKOS.exactMatch, E + "nation/{s_nationkey}"),
     Fact("nation", NATION, SKOS.exactMatch, REGION),
-    Fact("supplier", SUPPLIER, SKOS.closeMatch, E + "nation/{s_nationkey}", where="s_suppkey <= 60"),
+    Fact("supplier", SUPPLIER, SKOS.closeMatch, E + "nation/{s_nationkey}"),
     Fact("supplier", SUPPLIER, SKOS.related, E + "nation/{s_nationkey}"),
 ]
 CLASSES = [
