@@ -62,3 +62,21 @@ def test_targets_of_one_subject_and_of_more(spark):
         found = brute(edges, {s for s, _ in edges})
         got = rules.transitive_exact_match(rules.Context(given, None))[0].where("derived").select("subject", "object")
         assert sorted(tuple(x) for x in got.collect()) == sorted([*found, *((o, d) for d, o in found)])
+
+
+WHOLE = ["bgp_variable_predicate", "filter_is_uri", "filter_is_literal", "filter_is_blank", "filter_datatype"]
+
+
+def test_open_patterns_see_every_table(spark, small):
+    """The subjects, taken one by one from the tables, against those of the queries with a variable predicate."""
+    keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "order": "o_orderkey", "event": "event_id", "doc": "doc_id"}
+    names = {"order": "orders", "event": "events", "doc": "documents"}
+    got = {r.s for r in entry.queries()["bgp_variable_predicate"](spark, small).select("s").distinct().collect()}
+    for kind, key in keys.items():
+        assert {f"{E}{kind}/{r[0]}" for r in spark.read.parquet(f"{small}/{names.get(kind, kind)}.parquet").select(key).collect()} <= got, kind
+    assert {f"{E}li/{r[0]}-{r[1]}" for r in spark.read.parquet(f"{small}/lineitem.parquet").select("l_orderkey", "l_linenumber").collect()} <= got
+    rows = {n: entry.queries()[n](spark, small).collect() for n in WHOLE[1:]}
+    kinds = lambda name: {r[0][len(E) :].split("/")[0] for r in rows[name] if r[0].startswith(E)}
+    assert {"li", "order", "customer", "turn"} <= kinds("filter_is_uri") and {"li", "event", "doc", "region"} <= kinds("filter_is_literal")
+    assert {r[0] for r in rows["filter_datatype"]} & {r.url for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
+    assert rows["filter_is_blank"] == [] and len(rows["filter_is_uri"]) + len(rows["filter_is_literal"]) == entry.queries()["bgp_variable_predicate"](spark, small).count()

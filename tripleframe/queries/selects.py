@@ -94,7 +94,7 @@ SELECTS: dict[str, Query] = {
         "SELECT ?n ?s WHERE { ?n v:inRegion <http://example.org/region/1> . ?s a skos:ConceptScheme }",
         "SELECT a.s AS n, b.s AS s FROM t a, t b WHERE a.p = '%s' AND a.o = 'http://example.org/region/1' AND b.p = '%s' AND b.o = '%s'" % (REGION, TYPE, SKOS.ConceptScheme), (REGION, TYPE),
     ),
-    "bgp_variable_predicate": Query("SELECT ?s ?p ?o WHERE { ?s ?p ?o }", "SELECT s, p, o FROM t", tables=("nation", "region")),
+    "bgp_variable_predicate": Query("SELECT ?s ?p ?o WHERE { ?s ?p ?o }", "SELECT s, p, o FROM t"),
     "bgp_repeated_variable": Query("SELECT ?x ?y WHERE { ?x skos:related ?y . ?y skos:related ?y . }", "SELECT a.s AS x, a.o AS y FROM u a JOIN u b ON b.s = a.o AND b.o = a.o", (SKOS.related,), extend=lambda st, sp, d: st.register("loop", st.match(predicate=SKOS.related).selectExpr("object as subject", "predicate", "object").distinct()), more="u AS (SELECT s, o FROM t UNION ALL SELECT DISTINCT o, o FROM t)"),
     "bgp_star_triangle": Query(
         "SELECT ?l ?p ?s WHERE { ?l v:ofPart ?p . ?l v:bySupplier ?s . ?s v:inNation <http://example.org/nation/3> . ?p v:brand 'Brand#12' }",
@@ -120,9 +120,9 @@ SELECTS: dict[str, Query] = {
     "filter_lcase": _filter('lcase(?n) = "asia" || lcase(?n, "EUROPE")', "lower(o) IN ('asia', 'europe')"),
     "filter_ucase": _filter('ucase(?n, "africa")', "upper(o) = 'AFRICA'"),
     "filter_replace": _filter('replace(?n, "AM", "x")', "contains(o, 'AM')"),
-    "filter_is_uri": Query("SELECT ?s ?o WHERE { ?s ?p ?o . FILTER(isURI(?o)) }", "SELECT s, o FROM t WHERE regexp_matches(o, '^(https?://|urn:)')", tables=("nation",)),
-    "filter_is_literal": Query("SELECT ?s ?o WHERE { ?s ?p ?o . FILTER(isLiteral(?o)) }", "SELECT s, o FROM t WHERE NOT regexp_matches(o, '^(https?://|urn:)')", tables=("nation",)),
-    "filter_is_blank": Query("SELECT ?s ?o WHERE { ?s ?p ?o . FILTER(isBlank(?o)) }", "SELECT s, o FROM t WHERE starts_with(o, '_:')", tables=("nation",)),
+    "filter_is_uri": Query("SELECT ?s ?o WHERE { ?s ?p ?o . FILTER(isURI(?o)) }", "SELECT s, o FROM t WHERE regexp_matches(o, '^(https?://|urn:)')"),
+    "filter_is_literal": Query("SELECT ?s ?o WHERE { ?s ?p ?o . FILTER(isLiteral(?o)) }", "SELECT s, o FROM t WHERE NOT regexp_matches(o, '^(https?://|urn:)')"),
+    "filter_is_blank": Query("SELECT ?s ?o WHERE { ?s ?p ?o . FILTER(isBlank(?o)) }", "SELECT s, o FROM t WHERE starts_with(o, '_:')"),
     "filter_str": _filter('str(?n, "ASIA")', "o = 'ASIA'"),
     "filter_substr": _filter("substr(?n, 10)", "10 < strlen(o)"),
     "filter_strlen": _filter("strlen(?n) > 17", "length(o) > 17"),
@@ -132,7 +132,7 @@ SELECTS: dict[str, Query] = {
     "filter_logic": _filter('!contains(?n, "A") && (strEnds(?n, "5") || strEnds(?n, "0"))', "NOT contains(o, 'A') AND (ends_with(o, '5') OR ends_with(o, '0'))"),
     "filter_numeric_compare": Query("SELECT ?c ?b WHERE { ?c v:acctbal ?b . ?c v:segment ?s . FILTER(?b >= 9000 && ?b < 9500.5) }", "SELECT a.s AS c, a.o AS b FROM t a JOIN t b USING (s) WHERE a.p = '%s' AND b.p = '%s' AND CAST(a.o AS DOUBLE) >= 9000 AND CAST(a.o AS DOUBLE) < 9500.5" % (A, S), (A, S)),
     "filter_variables": Query("SELECT ?a ?b WHERE { ?a v:inRegion ?r . ?b v:inRegion ?r . FILTER(?a != ?b) }", "SELECT a.s AS a, b.s AS b FROM t a JOIN t b USING (o) WHERE a.s <> b.s", (REGION,)),
-    "filter_datatype": Query("SELECT ?x ?o WHERE { ?x ?p ?o . FILTER(datatype(?o) = '%s') }" % XSD.integer, "SELECT s AS x, o FROM t WHERE dt = '%s'" % XSD.integer, tables=("part",)),
+    "filter_datatype": Query("SELECT ?x ?o WHERE { ?x ?p ?o . FILTER(datatype(?o) = '%s') }" % XSD.integer, "SELECT s AS x, o FROM t WHERE dt = '%s'" % XSD.integer),
     "distinct": Query("SELECT DISTINCT ?s ?st WHERE { ?o v:status ?st . ?o v:placedBy ?c . ?c v:segment ?s }", "SELECT DISTINCT c_mktsegment AS s, o_orderstatus AS st FROM orders JOIN customer ON o_custkey = c_custkey", (REGION,)),
     "limit_offset": Query("SELECT ?n ?b WHERE { ?c v:name ?n . ?c v:acctbal ?b } LIMIT 20 OFFSET 15", "SELECT a.o AS n, b.o AS b FROM t a JOIN t b USING (s) WHERE a.p = '%s' AND b.p = '%s' ORDER BY n, b LIMIT 20 OFFSET 15" % (NAME, A), (NAME, A)),
     "offset_past_end": Query("SELECT ?n WHERE { ?n v:inRegion ?r } OFFSET 1000", "SELECT s AS n FROM t WHERE false", (REGION,)),
