@@ -13,6 +13,8 @@ from tripleframe.llm.common import like, pick, private, slices, utf8_bytes
 
 Q = 12
 SEGMENT = 96
+#: words of a passage that begins at every word
+RUN = 13
 ERRORS = 0.05
 PART_BYTES = 8 << 20
 TABLE_BITS = 22
@@ -38,37 +40,64 @@ def grams(data: np.ndarray) -> np.ndarray:
     return out * K1
 
 
+class Windows:
+    """The passages' bytes, cut from their items when asked for."""
+
+    def __init__(self, texts: list[bytes], own: np.ndarray, start: np.ndarray, length: np.ndarray):
+        self.texts, self.own, self.start, self.length = texts, own, start, length
+
+    def __len__(self) -> int:
+        return len(self.own)
+
+    def __getitem__(self, k: int) -> bytes:
+        if not 0 <= k < len(self.own):
+            raise IndexError(k)
+        return self.texts[self.own[k]][self.start[k] : self.start[k] + self.length[k]]
+
+
+def passages(data: bytes) -> list[tuple[int, int]]:
+    """(start, end): from each word RUN words, and from there and each half of SEGMENT bytes that many bytes."""
+    begin = [0, *(i + 1 for i, c in enumerate(data) if c == 32)]
+    end = [*(i - 1 for i in begin[1:]), len(data)]
+    last = max(len(data) - SEGMENT, 0)
+    out = {(i, min(i + SEGMENT, len(data))) for i in (*range(0, last, SEGMENT // 2), last, *(i for i in begin if i < last))}
+    return sorted(out | {(begin[k], end[k + RUN - 1]) for k in range(len(begin) - RUN + 1)})
+
+
 class Index:
-    """The q-grams of benchmark passages. An item is cut into passages of SEGMENT bytes, each half over the next."""
+    """The q-grams of whole benchmark items, and the passages in which they are counted."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.text, code, seg, at = [], [], [], [], []
+        self.item, texts, code, own, at, cuts = [], [], [], [], [], []
         for item, text in items:
             data = text.encode()
-            last = max(len(data) - SEGMENT, 0)
-            for start in sorted({*range(0, last, SEGMENT // 2), last}):
-                piece = data[start : start + SEGMENT]
-                g = grams(np.frombuffer(piece, np.uint8))
-                if len(g):
-                    code.append(g)
-                    seg.append(np.full(len(g), len(self.item)))
-                    at.append(np.arange(len(g)))
-                    self.item.append(item)
-                    self.text.append(piece)
-        code, seg, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (code, seg, at))
+            g = grams(np.frombuffer(data, np.uint8))
+            if len(g):
+                code.append(g)
+                own.append(np.full(len(g), len(texts)))
+                at.append(np.arange(len(g)))
+                new = [(len(texts), a, b - a) for a, b in passages(data) if b - a >= Q]
+                self.item += [item] * len(new)
+                cuts.append(np.array(new, np.int64))
+                texts.append(data)
+        code, own, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (code, own, at))
         sort = np.argsort(code, kind="stable")
         self.code, self.first = np.unique(code[sort].astype(np.uint64), return_index=True)
         self.first = np.append(self.first, len(sort))
-        self.seg, self.at = seg[sort].astype(np.int64), at[sort].astype(np.int64)
-        length = np.array([len(t) for t in self.text], np.int64)
+        self.own, self.at = own[sort].astype(np.int64), at[sort].astype(np.int64)
+        holder, self.start, length = np.concatenate(cuts).T if cuts else np.zeros((3, 0), np.int64)
+        self.text = Windows(texts, holder, self.start, length)
+        #: the passages of item k are window[k] to window[k + 1]
+        self.window = np.searchsorted(holder, np.arange(len(texts) + 1))
         self.edits = np.minimum((ERRORS * length).astype(np.int64), np.maximum((length - Q) // Q, 0))
         # q-gram lemma: what is within `edits` of the passage shares at least so many of its q-grams
         self.least = length - Q + 1 - Q * self.edits
+        self.fewest = np.minimum.reduceat(self.least, self.window[:-1]) if len(texts) else np.zeros(0, np.int64)
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[(self.code >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
 
-    def hits(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shared q-grams: the text, the passage and the diagonal of each."""
+    def hits(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Shared q-grams: the text, the item's number, the position in the item and the diagonal of each."""
         code = grams(data)
         pos = np.flatnonzero(self.table[(code >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         found = np.searchsorted(self.code, code[pos])
@@ -80,31 +109,38 @@ class Index:
         pos, found, doc = pos[ok], found[ok], doc[ok]
         many = self.first[found + 1] - self.first[found]
         k = np.repeat(self.first[found], many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-        return np.repeat(doc, many), self.seg[k], np.repeat(pos - begin[doc], many) - self.at[k]
+        return np.repeat(doc, many), self.own[k], self.at[k], np.repeat(pos - begin[doc], many) - self.at[k]
 
-    def regions(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
+    def regions(self, data: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(text, passage, first diagonal) of the bands that hold as many shared q-grams as the lemma asks for.
 
-        Bands are 2 * (edits + 1) diagonals wide and begin every edits + 1, so a match lies inside of one.
+        Bands are 2 * (edits + 1) diagonals wide and begin every edits + 1, so a match lies inside of one. A text's
+        passages of an item come together, those that share most first.
         """
-        doc, seg, diagonal = self.hits(data, begin)
+        doc, own, at, diagonal = self.hits(data, begin)
         if not len(doc):
-            return doc, seg, diagonal
-        n = len(self.item)
-        both = doc * n + seg
+            return
+        both = doc * len(self.fewest) + own
         _, inverse, count = np.unique(both, return_inverse=True, return_counts=True)
-        ok = count[inverse] >= self.least[seg]
-        doc, seg, diagonal = doc[ok], seg[ok], diagonal[ok]
-        step = self.edits[seg] + 1
-        band = diagonal // step
-        doc, seg, band = np.tile(doc, 2), np.tile(seg, 2), np.concatenate([band, band - 1])
-        sort = np.lexsort((band, seg, doc))
-        doc, seg, band = doc[sort], seg[sort], band[sort]
-        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (seg[1:] != seg[:-1]) | (band[1:] != band[:-1])])) if len(doc) else np.zeros(0, np.int64)
-        count = np.diff(np.append(new, len(doc)))
-        doc, seg, band = doc[new], seg[new], band[new]
-        ok = count >= self.least[seg]
-        return doc[ok], seg[ok], (band * (self.edits[seg] + 1))[ok]
+        ok = count[inverse] >= self.fewest[own]
+        both, at, diagonal = both[ok], at[ok], diagonal[ok]
+        sort = np.lexsort((at, both))
+        both, at, diagonal = both[sort], at[sort], diagonal[sort]
+        new = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(both)]):
+            d, o = divmod(int(both[a]), len(self.fewest))
+            w = np.arange(self.window[o], self.window[o + 1])
+            lo = a + np.searchsorted(at[a:b], self.start[w])
+            hi = a + np.searchsorted(at[a:b], self.start[w] + self.text.length[w] - Q, "right")
+            ok = hi - lo >= self.least[w]
+            for k in np.flatnonzero(ok)[np.argsort((self.text.length[w] - (hi - lo))[ok], kind="stable")].tolist():
+                s = int(w[k])
+                step = int(self.edits[s]) + 1
+                band, count = np.unique((diagonal[lo[k] : hi[k]] + self.start[s]) // step, return_counts=True)
+                each = dict(zip(band.tolist(), count.tolist()))
+                for x in sorted({*each, *(y - 1 for y in each)}):
+                    if each.get(x, 0) + each.get(x + 1, 0) >= self.least[s]:
+                        yield d, s, x * step
 
 
 def banded(passage: bytes, text: bytes, first: int, width: int, most: int) -> int | None:
@@ -136,8 +172,7 @@ def matches(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int]]:
     """(text, item, position, edits), the best of each text and item, sorted."""
     data, begin = utf8_bytes(texts)
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    doc, seg, band = index.regions(data, begin)
-    for d, s, first in zip(doc.tolist(), seg.tolist(), band.tolist()):
+    for d, s, first in index.regions(data, begin):
         edits = int(index.edits[s])
         if best.get((d, index.item[s]), (edits + 1, 0))[0] == 0:
             continue
@@ -166,10 +201,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, position, edits): documents that hold a passage of a benchmark item.
 
     Both texts are compared in lower case, with runs of other characters than letters and digits as one space. An item
-    is cut into passages of 96 bytes, half overlapping (an item of less is one passage), and a passage is found where
-    it is within 5 % edits. `position` is a byte in the compared text; best match of each row and item.
+    has passages of 13 words and of 96 bytes from every word on, and of 96 bytes every 48 (an item of less is one), and a
+    passage is found where it is within 5 % edits: a quote of 13 whole words is, wherever it begins, and one of which
+    every 13 words have a word replaced is not. `position` is a byte in the compared text; best match of each row and item.
 
-    Whole documents are scanned: shared 12-grams are counted in overlapping bands of diagonals, bands with as many as
+    Whole documents are scanned: 12-grams shared with an item are counted for each passage in overlapping bands of diagonals, bands with as many as
     the q-gram lemma asks for are kept, and each is verified by banded alignment. Only the benchmark travels, in parts
     of bounded size, a scan for each.
 
