@@ -11,7 +11,12 @@ from pyspark.sql import DataFrame
 from tripleframe.llm.common import pick, slices
 from tripleframe.llm.vocabulary import FOLDER, TIKTOKEN, encoder
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.@-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_.@-]*@)")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_@-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: what can be a part of an address, whole: a local part and a host with a dot
+ADDRESS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: scheme://user: before a password, which with its host looks like an address
+LOGIN = re.compile(r"://[^\s/@:]*:[^\s@]*$")
+LEAST = 16
 HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGESTS = {32, 40, 56, 64, 96, 128}
 #: what a digest is assigned to, or follows, when it is a credential after all
@@ -31,15 +36,43 @@ def excluded(text: str, start: int, string: str) -> bool:
     before = text[max(0, start - 32) : start]
     if DIGEST_NAME.search(before):
         return True
-    if not any(c.isdigit() for c in string) or not any(c.isalpha() for c in string):
+    if not any(c.isalpha() for c in string):
+        return True
+    if not any(c.isdigit() for c in string) and (string.islower() or string.isupper()):
         return True
     if HEX.fullmatch(string) and len(string) in DIGESTS:
         return not NAMED.search(before)
     return bool(KNOWN.fullmatch(string))
 
 
+def candidates(text: str) -> Iterator[tuple[int, str]]:
+    """Runs of the alphabets; of a run in an address with a dotted host or after "//", the parts between slashes."""
+    for m in CANDIDATE.finditer(text):
+        start, string = m.start(), m.group()
+        if "/" in string and (string.startswith("//") or text[max(0, start - 1) : start] == "."):
+            for part in re.finditer(r"[^/]+", string):
+                if len(part.group().rstrip("=")) >= LEAST:
+                    yield start + part.start(), part.group()
+        else:
+            yield start, string
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Where e-mail addresses are; the password of scheme://user:password@host is none."""
+    if "@" not in text:
+        return []
+    return [m.span() for m in ADDRESS.finditer(text) if not LOGIN.search(text[max(0, m.start() - 256) : m.start()])]
+
+
 def scan(text: str) -> list[tuple[int, str]]:
-    return [(m.start(), m.group()) for m in CANDIDATE.finditer(text) if not excluded(text, m.start(), m.group())]
+    out, spans, k = [], addresses(text), 0
+    for start, string in candidates(text):
+        while k < len(spans) and spans[k][1] <= start:
+            k += 1
+        inside = k < len(spans) and spans[k][0] < start + len(string)
+        if not inside and not excluded(text, start, string):
+            out.append((start, string))
+    return out
 
 
 def find_secrets(docs: DataFrame, max_ratio: float = 2.5, vocabulary: str = f"{FOLDER}/{TIKTOKEN}") -> DataFrame:
@@ -47,7 +80,8 @@ def find_secrets(docs: DataFrame, max_ratio: float = 2.5, vocabulary: str = f"{F
 
     Candidates are runs of 16 or more characters of the alphabets of base64, base64url and hex. Digests (hex of a known
     length that no name of a credential stands before, or what follows the name of a digest) and identifiers (UUIDs,
-    dates, numbers, words joined by signs) are excluded. What is left is a secret if it has at most `max_ratio`
+    dates, numbers, words joined by signs) are excluded, as are parts of e-mail addresses and strings of one case without a digit. Of a path
+    after a dotted host or "//" each part is a candidate. What is left is a secret if it has at most `max_ratio`
     characters a token. `start` is a character of the text.
 
     Null texts, empty texts and empty tables yield nothing. Rows keep their doc_id, null or not; a row given twice is
