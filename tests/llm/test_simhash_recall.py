@@ -1,0 +1,19 @@
+"""Recall of the tries for pairs near the budget, at the depth of large tables, as the README states it."""
+
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from tripleframe.llm.simhash import BITS, order, tables
+
+
+@pytest.mark.parametrize("n, stated", [(10**5, {40: 0.93, 44: 0.87, 48: 0.77}), (10**6, {40: 0.92, 44: 0.82, 48: 0.70}), (10**8, {40: 0.85, 44: 0.69, 48: 0.50})])
+def test_recall_near_the_budget(n, stated):
+    depth, tries = tables(n)
+    heads = np.stack([order(t)[:depth] for t in range(tries)])
+    r = np.random.default_rng(5)
+    for bits, share in stated.items():
+        differ = np.argsort(r.random((2000, BITS)), axis=1) < bits
+        met = (~differ[:, heads].any(axis=2)).any(axis=1).mean()
+        assert abs(met - share) < 0.05, (bits, met)
