@@ -17,15 +17,33 @@ from tripleframe.runtime import shared_dir
 SLICE_BYTES = 16 << 20
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """`df` whose column names also differ without their case: of those that don't, the last keeps its name."""
+    last = {c.lower(): i for i, c in enumerate(df.columns)}
+    if len(last) == len(df.columns):
+        return df
+    names = [c if last[c.lower()] == i else f"tf_{i}_{c}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names)
+
+
+def column(df: DataFrame, name: str) -> str:
+    """The column of that name in any case."""
+    return {c.lower(): c for c in df.columns}[name]
+
+
 def pick(df: DataFrame, **kinds: str) -> DataFrame:
-    """The named columns alone, cast to their types; missing ones are null, other columns are dropped."""
+    """The named columns alone, cast to their types; missing ones are null, other columns are dropped.
+
+    Names count in any case; of several columns that differ in case only, the last is meant.
+    """
+    df = apart(df)
     have = {c.lower(): c for c in df.columns}
     return df.select(*[(df[have[c]] if c in have else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
 
 def like(docs: DataFrame, out: DataFrame) -> DataFrame:
-    """`out` with the columns of `docs`, in their order."""
-    return out.select(*docs.columns)
+    """`out`, made of apart(docs), with the columns of `docs`, in their order."""
+    return out.select(*apart(docs).columns).toDF(*docs.columns)
 
 
 def private(docs: DataFrame, name: str) -> str:
