@@ -6,28 +6,43 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tripleframe.llm.lines import BLANKS, build, counted, drop_repeated_lines, lookup
+from tripleframe.llm import lines
+from tripleframe.llm.lines import BLANKS, NO_ID, build, counted, drop_repeated_lines, lookup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def brute(rows, least, share=0.5):
-    counts = Counter(x for _, t, *_ in rows if t is not None for line in t.split("\n") if (x := line.strip(BLANKS)))
+def brute(rows, least=2):
+    """Line by line, documents in the order of their ids; those of one id keep the same lines."""
+    own = lambda doc: NO_ID if doc is None else doc
+    counts, first = Counter(), {}
+    for doc, text, *_ in rows:
+        for line in text.split("\n") if text is not None else ():
+            if x := line.strip(BLANKS):
+                counts[x] += 1
+                first[x] = min(first.get(x, NO_ID), own(doc))
     out = []
     for doc, text, lang, source, n in rows:
         if text is not None:
-            lines = text.split("\n")
-            hit = [counts[x.strip(BLANKS)] >= least for x in lines]
-            gone = sum(len(x.strip(BLANKS)) for x, h in zip(lines, hit) if h)
-            if any(hit) and gone <= share * sum(len(x.strip(BLANKS)) for x in lines):
-                text = "\n".join(x for x, h in zip(lines, hit) if not h)
+            left, seen, some = [], set(), False
+            for line in text.split("\n"):
+                x = line.strip(BLANKS)
+                if x and counts[x] >= least and (first[x] != own(doc) or x in seen):
+                    some = True
+                    continue
+                seen.add(x)
+                left.append(line)
+            if some and not any(x.strip(BLANKS) for x in left):
+                continue
+            if some:
+                text = "\n".join(left)
                 n = len(text)
         out.append((doc, text, lang, source, n))
     return sorted(out, key=repr)
 
 
-def run(spark, rows, least, **kw):
-    return sorted(map(tuple, drop_repeated_lines(spark.createDataFrame(rows, SCHEMA), least, **kw).collect()), key=repr)
+def run(spark, rows, least=2):
+    return sorted(map(tuple, drop_repeated_lines(spark.createDataFrame(rows, SCHEMA), least).collect()), key=repr)
 
 
 def test_against_brute_force(spark):
@@ -48,16 +63,37 @@ def test_edges(spark):
         run(spark, rows, 0)
 
 
-def test_copies_stay_whole(spark):
+def test_of_copies_the_first_stays(spark):
     rows = [(i, "one line\nand two\nand three", "en", "s", 26) for i in range(5)]
-    assert run(spark, rows, 2) == sorted(rows)
+    assert run(spark, rows) == rows[:1]
+    same = [(1, "a\na\nb", "en", "s", 5), (1, "a\na\nb", "en", "s", 5), (None, "b", "en", "s", 1), (None, "c\nc", "en", "s", 3)]
+    assert run(spark, same) == brute(same) == sorted([(1, "a\nb", "en", "s", 3)] * 2 + [(None, "c", "en", "s", 1)], key=repr)
+
+
+def test_heavy_lines_are_resolved_in_place(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HEAVY", 8)
+    r = random.Random(4)
+    rows = [(i, "\n".join(["the same line"] * (i % 3) + [f"own {r.random()}", r.choice(["x", "y"])]), "en", "s", 1) for i in range(60)]
+    for least in (2, 30):
+        assert run(spark, rows, least) == brute(rows, least)
+
+
+def test_a_hash_of_two_rows_is_told_apart_by_their_ids(spark):
+    rows = [(1, "a\nb", "en", "s", 3), (2, "a\nb", "en", "s", 3), (3, "b\nc", "en", "s", 3)]
+    assert run(spark, rows) == brute(rows) == [(1, "a\nb", "en", "s", 3), (3, "c", "en", "s", 1)]
 
 
 def test_long_text_and_clashing_columns(spark):
     long = "\n".join(f"line {i}" for i in range(30000))
-    df = spark.createDataFrame([(1, long + "\nhot", "k", 1, 2), (2, "hot\nsomething of its own", "k", 3, 4)], "doc_id long, text string, tf_key string, h long, pos int")
-    got = {r.doc_id: r for r in drop_repeated_lines(df, 2).collect()}
-    assert got[1].text == long and got[2].text == "something of its own" and got[2].h == 3 and got[1].tf_key == "k"
+    df = spark.createDataFrame([(1, long + "\nhot", "k", 1, 2), (2, "hot\nsomething of its own", "k", 3, 4), (3, long + "\nlast", "k", 5, 6)], "doc_id long, text string, tf_key string, h long, pos int")
+    got = {r.doc_id: r for r in drop_repeated_lines(df).collect()}
+    assert got[1].text == long + "\nhot" and got[2].text == "something of its own" and got[2].h == 3 and got[1].tf_key == "k" and got[3].text == "last"
+
+
+def test_columns_that_differ_in_case_only(spark):
+    df = spark.createDataFrame([(1, "z", "a\nb"), (2, "z", "b\nc")], "doc_id long, TEXT string, text string")
+    out = drop_repeated_lines(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [(1, "z", "a\nb"), (2, "z", "c")]
 
 
 def test_perfect_hash():
@@ -65,8 +101,10 @@ def test_perfect_hash():
     for n in (0, 1, 2, 1000, 50000):
         keys = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
         counts = r.integers(1, 100000, len(keys))
-        t = build(keys, counts)
+        owners = r.integers(0, 1 << 60, len(keys))
+        t = build(keys, counts, owners)
         assert sorted(lookup(keys, t).tolist()) == list(range(len(keys))), "minimal and perfect"
-        assert (counted(keys, t) == np.minimum(counts, 65535)).all()
+        many, first = counted(keys, t)
+        assert (many == np.minimum(counts, 65535)).all() and (first == owners).all()
         others = r.integers(0, 1 << 63, 1000).astype(np.uint64)
-        assert (counted(others[~np.isin(others, keys)], t) > 0).mean() < 0.001
+        assert not len(keys) or (counted(others[~np.isin(others, keys)], t)[0] > 0).mean() < 0.001
