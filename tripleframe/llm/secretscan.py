@@ -11,38 +11,42 @@ from pyspark.sql import DataFrame
 from tripleframe.llm.common import pick, slices
 from tripleframe.llm.vocabulary import FOLDER, TIKTOKEN, encoder
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_@-])[A-Za-z0-9+/_-]{16,}={0,2}")
+LEAST = 12
+#: runs of the alphabets that are more than one word in lower case or with a capital
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_@-])(?![A-Z]?[a-z]+(?![A-Za-z0-9+/_-]))[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST)
 #: what can be a part of an address, whole: a local part and a host with a dot
 ADDRESS = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-#: scheme://user: before a password, which with its host looks like an address
-LOGIN = re.compile(r"://[^\s/@:]*:[^\s@]*$")
-LEAST = 16
 HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGESTS = {32, 40, 56, 64, 96, 128}
-#: what a digest is assigned to, or follows, when it is a credential after all
-NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|credential|auth\w*|bearer|(?:api|access|private|signing)[_-]?key)[\"']?\s*(?:[:=]+>?\s*)?[\"']?$", re.IGNORECASE)
+#: names of what is a credential, although it has a digest's form
+NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|credential|auth\w*|bearer|(?:api|access|private|signing)[_-]?key)", re.IGNORECASE)
 KNOWN = re.compile(
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"  # UUID
     r"|\d{4}-\d\d-\d\d(?:[T_-][\d-]*)?Z?"  # date
-    r"|[\d/_+-]+=*"  # numbers
-    r"|(?:sha(?:1|224|256|384|512)|md5)-[A-Za-z0-9+/_-]+=*"  # subresource integrity
+    r"|(?:sha(?:1|224|256|384|512)|md5)-[A-Za-z0-9+/_-]+"  # subresource integrity
     r"|(?:[a-z]+|[A-Z]+|[A-Z]?[a-z]+\d{0,4})(?:[_/-](?:[a-z]+|[A-Z]+|[A-Z]?[a-z]+)?\d{0,4})*"  # words
 )
-DIGEST_NAME = re.compile(r"(?:sha-?\d*|md5|commit|digest|checksum|hash|etag|revision|integrity)[\"']?\s*[:=]?\s*[\"']?$", re.IGNORECASE)
+
+
+def name_before(text: str, start: int) -> str:
+    """The word to which what begins at `start` is assigned, or which it follows."""
+    j = start
+    while j and (text[j - 1].isspace() or text[j - 1] in "\"':=>"):
+        j -= 1
+    k = j
+    while k and (text[k - 1].isalnum() or text[k - 1] in "_-"):
+        k -= 1
+    return text[k:j]
 
 
 def excluded(text: str, start: int, string: str) -> bool:
-    """Whether the string is an identifier, or a digest that no credential's name stands before."""
-    before = text[max(0, start - 32) : start]
-    if DIGEST_NAME.search(before):
-        return True
+    """Whether the string has the form of an identifier, or of a digest that is no credential by its name."""
     if not any(c.isalpha() for c in string):
         return True
-    if not any(c.isdigit() for c in string) and (string.islower() or string.isupper()):
-        return True
-    if HEX.fullmatch(string) and len(string) in DIGESTS:
-        return not NAMED.search(before)
-    return bool(KNOWN.fullmatch(string))
+    bare = string.rstrip("=")
+    if HEX.fullmatch(bare) and len(bare) in DIGESTS:
+        return not NAMED.search(name_before(text, start))
+    return bool(KNOWN.fullmatch(bare))
 
 
 def candidates(text: str) -> Iterator[tuple[int, str]]:
@@ -57,11 +61,20 @@ def candidates(text: str) -> Iterator[tuple[int, str]]:
             yield start, string
 
 
+def _login(text: str, start: int) -> bool:
+    """Whether scheme://user: stands before, up to the last blank."""
+    k = start
+    while k and not text[k - 1].isspace():
+        k -= 1
+    scheme, sign, rest = text[k:start].rpartition("://")
+    return bool(sign) and ":" in rest and "@" not in rest and "/" not in rest.partition(":")[0]
+
+
 def addresses(text: str) -> list[tuple[int, int]]:
     """Where e-mail addresses are; the password of scheme://user:password@host is none."""
     if "@" not in text:
         return []
-    return [m.span() for m in ADDRESS.finditer(text) if not LOGIN.search(text[max(0, m.start() - 256) : m.start()])]
+    return [m.span() for m in ADDRESS.finditer(text) if not _login(text, m.start())]
 
 
 def scan(text: str) -> list[tuple[int, str]]:
@@ -78,14 +91,15 @@ def scan(text: str) -> list[tuple[int, str]]:
 def find_secrets(docs: DataFrame, max_ratio: float = 2.5, vocabulary: str = f"{FOLDER}/{TIKTOKEN}") -> DataFrame:
     """(doc_id, start, secret, n_chars, n_tokens): strings that look random to a tiktoken vocabulary.
 
-    Candidates are runs of 16 or more characters of the alphabets of base64, base64url and hex. Digests (hex of a known
-    length that no name of a credential stands before, or what follows the name of a digest) and identifiers (UUIDs,
-    dates, numbers, words joined by signs) are excluded, as are parts of e-mail addresses and strings of one case without a digit. Of a path
-    after a dotted host or "//" each part is a candidate. What is left is a secret if it has at most `max_ratio`
-    characters a token. `start` is a character of the text.
+    Candidates are runs of 12 or more characters of the alphabets of base64, base64url and hex, wherever they stand: in
+    quotes, after a name, after dots (each part of a dotted token on its own), in a path, before a host. Of a path after
+    a dotted host or "//" each part is a candidate. Excluded are, by their form, digests (hex of a known length, unless
+    the word before it names a credential) and identifiers: UUIDs, dates, numbers, subresource integrity, words joined
+    by signs, words with a number of up to four digits, e-mail addresses. What is left is a secret if it has at most
+    `max_ratio` characters a token. `start` is a character of the text.
 
     Null texts, empty texts and empty tables yield nothing. Rows keep their doc_id, null or not; a row given twice is
-    reported twice. Other columns are ignored.
+    reported twice. Texts are scanned whole, whatever their length. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
