@@ -17,7 +17,7 @@ from tripleframe.runtime import cut
 BITS, WORDS = 128, 2
 BUDGET = 15
 #: rows of a trie node that is not taken apart further
-LEAF = 64
+LEAF = 160
 STEP = 1 << 15
 #: rows that subtrees have on average before another error-free block is asked for
 ROOMY = 1 << 12
@@ -25,10 +25,11 @@ ROOMY = 1 << 12
 HOT = 1 << 16
 TASK_ROWS = 1 << 20
 SMALL = 1 << 18
-PIECE = 1 << 12
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 SIGNED = "doc_id long, s0 long, s1 long"
 SEED = 0x5EED
+#: one for each bit
+KEYS = mix(np.arange(1, BITS + 1, dtype=np.uint64) * np.uint64(SEED)).astype(np.uint32)
 
 
 def feature(word: str) -> str:
@@ -36,11 +37,22 @@ def feature(word: str) -> str:
     return word.strip(PUNCTUATION).lower() or word
 
 
-def projections(ids: np.ndarray, first: int, count: int) -> np.ndarray:
-    """What each feature adds to `count` of the bits' sums: a sign, times a number u**-3 for u uniform in (0, 1)."""
-    h = np.stack([mix(ids + np.uint64(SEED * (k + 1))) for k in range(first, first + count)], 1)
-    u = ((h >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
-    return np.where(h & np.uint64(1), np.float32(1), np.float32(-1)) / (u * u * u)
+def projection(low: np.ndarray, high: np.ndarray, bit: int) -> np.ndarray:
+    """What each feature adds to the bit's sum: a sign, times a number u**-3 for u uniform in (0, 1)."""
+    x = low ^ KEYS[bit]
+    x *= np.uint32(0x7FEB352D)
+    x ^= x >> np.uint32(15)
+    x ^= high
+    x *= np.uint32(0x846CA68B)
+    x ^= x >> np.uint32(16)
+    u = (x >> np.uint32(8)).astype(np.float32)
+    u += np.float32(0.5)
+    u *= np.float32(2**-24)
+    out = u * u
+    out *= u
+    np.divide(np.float32(1), out, out=out)
+    out.view(np.uint32)[:] |= x << np.uint32(31)  # the sign
+    return out
 
 
 def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,24 +63,17 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     known, number = np.unique(ids, return_inverse=True)
     # each document's distinct features, in the order of their hashes: equal sets have equal sums
     pair = np.repeat(np.arange(len(size), dtype=np.int64), size) * max(len(known), 1) + number[code]
-    pair = np.unique(pair)
+    pair.sort()
+    pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])] if len(pair) else pair
     doc, number = pair // max(len(known), 1), pair % max(len(known), 1)
     size = np.bincount(doc, minlength=len(size))
-    sums = np.zeros((len(size), BITS))
-    piece = -(-size // PIECE)
-    owner = np.repeat(np.arange(len(size)), piece)
-    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-    first = begin[owner] + PIECE * (np.arange(len(owner)) - np.repeat(np.cumsum(piece) - piece, piece)) if len(owner) else owner
-    stop = np.append(first[1:], len(number))
-    # runs of pieces of about 4 * PIECE features, and as many bits at once as keep the table of projections small
-    run = np.flatnonzero(np.diff(first // (4 * PIECE), prepend=-1)) if len(owner) else owner
-    wide = int(np.clip((1 << 24) // max(len(known), 1), 1, BITS))
-    for bit in range(0, BITS if len(owner) else 0, wide):
-        table = projections(known, bit, min(wide, BITS - bit))
-        for a, b in zip(run.tolist(), [*run[1:].tolist(), len(owner)]):
-            part = np.add.reduceat(table[number[first[a] : stop[b - 1]]], first[a:b] - first[a], axis=0)
-            np.add.at(sums[:, bit : bit + table.shape[1]], owner[a:b], part)
-    return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64), size
+    bits = np.zeros((len(size), BITS), bool)
+    some = np.flatnonzero(size)
+    first = (np.cumsum(size) - size)[some]
+    low, high = known.astype(np.uint32), (known >> np.uint64(32)).astype(np.uint32)
+    for bit in range(BITS if len(some) else 0):
+        bits[some, bit] = np.add.reduceat(projection(low, high, bit)[number], first) > 0
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64), size
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
