@@ -4,6 +4,7 @@ import random
 
 import duckdb
 
+from tripleframe.llm import tokencount
 from tripleframe.llm.chat import END, START, escape, format_chats, formatted, parse, unescape
 from tripleframe.llm.secretscan import find_secrets, scan
 from tripleframe.llm.tokencount import balanced, lengths, split_safely, token_counts
@@ -26,6 +27,14 @@ def test_pieces_have_the_tokens_of_the_text():
             assert "".join(cut) == text
             assert [t for p in cut for t in e.encode_ordinary(p)] == e.encode_ordinary(text)
     assert len(split_safely(prose(r, 3000), 100)) > 20
+    dense = lambda: "".join(r.choice(["日本語", "。", "、", "abc", "12", "'s", "'", "'ll", "--", "é", "e\u0301", "🙂", "_", "x"]) for _ in range(200))
+    for longest in (1, 7, 40):
+        for _ in range(30):
+            text = dense()
+            cut = split_safely(text, longest)
+            assert "".join(cut) == text and [t for p in cut for t in e.encode_ordinary(p)] == e.encode_ordinary(text)
+    assert len(split_safely("日本語。" * 1000, 100)) > 30, "no blanks"
+    assert split_safely("x" * 1000, 100) == ["x" * 1000], "one token of the pattern"
 
 
 def test_batches_are_balanced():
@@ -35,6 +44,20 @@ def test_batches_are_balanced():
     assert all(sum(sizes[i] for i in b) <= 1000 or len(b) == 1 for b in out)
 
 
+def test_batches_hold_so_many_bytes(monkeypatch):
+    """Not characters: text of three bytes each fills a batch three times as fast."""
+    seen = []
+
+    class Plain:
+        def encode_ordinary_batch(self, texts, num_threads):
+            seen.append(sum(len(t.encode()) for t in texts))
+            return [[0]] * len(texts)
+
+    monkeypatch.setattr(tokencount, "encoder", lambda path: Plain())
+    assert lengths(["日" * 1000] * 400 + ["x" * 1000] * 400, "").tolist() == [1] * 800
+    assert max(seen) <= tokencount.BATCH_BYTES and len(seen) >= 1600000 / tokencount.BATCH_BYTES
+
+
 def test_counts(spark):
     r, e = random.Random(3), encoder(PATH)
     rows = [(i, prose(r, r.randrange(200))) for i in range(40)] + [(None, "null id"), (1, None), (2, ""), (3, prose(r, 60000)), (3, "x" * 70000), (4, "<|endoftext|>"), (4, "<|endoftext|>")]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from tripleframe.llm.common import pick, slices
@@ -14,14 +14,24 @@ from tripleframe.llm.vocabulary import FOLDER, TIKTOKEN, encoder
 
 LONG = 1 << 16
 BATCH_BYTES = 1 << 18
-#: between a letter, digit or sign and a single space that a letter or digit follows, no token of the split pattern goes on
-SAFE = re.compile(r"(?<=[^\s]) (?=[^\W_])")
+#: where a token of the split pattern ends whatever stands around: before a blank after none; else, where letters, digits
+#: and signs meet, but for an apostrophe before letters
+BLANK = regex.compile(r"(?<=\S)(?=[ \n])")
+CHANGE = regex.compile(r"(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 
 def split_safely(text: str, longest: int = LONG) -> list[str]:
-    """Pieces of at least `longest` characters, cut before a single space within words, whose tokens are the text's."""
+    """Pieces of at least `longest` characters, cut where tokens end, whose tokens are the text's.
+
+    The first blank within as many characters again is taken, or else the first change of the kind of character. A run
+    of one kind is one token of the split pattern, and stays whole.
+    """
     out, start = [], 0
-    while len(text) - start > longest and (m := SAFE.search(text, start + longest)):
+    while len(text) - start > longest:
+        at = start + longest
+        m = BLANK.search(text, at, at + longest) or CHANGE.search(text, at)
+        if not m:
+            break
         out.append(text[start : m.start()])
         start = m.start()
     return [*out, text[start:]]
@@ -48,7 +58,7 @@ def lengths(texts: list[str | None], path: str) -> np.ndarray:
             parts += cut
             owner += [i] * len(cut)
     count = np.zeros(len(texts), np.int64)
-    for batch in balanced([len(p) for p in parts]):
+    for batch in balanced([len(p.encode()) for p in parts]):
         for i, ids in zip(batch, encode.encode_ordinary_batch([parts[i] for i in batch], num_threads=1)):
             count[owner[i]] += len(ids)
     return count
@@ -58,11 +68,12 @@ def token_counts(docs: DataFrame, vocabulary: str = f"{FOLDER}/{TIKTOKEN}") -> D
     """(doc_id, n_tokens): the number of tokens of each text under a tiktoken vocabulary.
 
     Texts are encoded in Arrow batches that are cut by bytes; within one, pieces go in batches balanced by bytes. Texts
-    of over 65,536 characters are split before single spaces between words, where no token of the vocabulary's split
-    pattern goes on, so the counts are those of the whole text.
+    of over 65,536 characters are split before blanks, or else where letters, digits and signs meet: there a token of
+    the vocabulary's split pattern ends, so the counts are those of the whole text. Only a longer run of one kind of
+    characters, which is one token of the pattern, is encoded as one.
 
     One row for each row, also for null or repeated doc_ids. A null text has null tokens, an empty one 0. Other columns
-    are ignored.
+    are ignored; of two that differ in case only, the last counts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
