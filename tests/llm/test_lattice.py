@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from tripleframe.llm.lattice import SPACE, Lattice, lm_scores, piece_scores
+from tripleframe.llm.lattice import SPACE, Lattice, given_scores, lm_scores, piece_scores
 from tripleframe.llm.vocabulary import FOLDER, PIECES, pieces
 
 NAMES = ["a", "b", "ab", "ba", SPACE, SPACE + "a", "aba", *[f"<0x{b:02X}>" for b in range(256)]]
@@ -81,3 +81,27 @@ def test_scores_are_the_corpus_counts(spark):
     # a likelier text under the corpus has fewer bits a byte
     got = {r.doc_id: r.bits_per_byte for r in lm_scores(spark.createDataFrame([*rows, (9, "zebra quartz")], DOCS)).collect()}
     assert got[9] > got[2]
+
+
+def test_long_pieces_and_large_vocabularies():
+    """No piece is left out, whatever its length, and the table grows with the vocabulary."""
+    names = ["a", "b", "ab" * 20, SPACE, *[f"p{i}" for i in range(70000)], *[""] * 256]
+    scores = np.full(len(names), math.log(1 / len(names)))
+    lattice = Lattice(names, scores, np.arange(len(names) - 256, len(names)))
+    assert lattice.longest == 40 and len(lattice.code) >= 4 * 70000
+    word = "ab" * 20
+    want = math.log(math.exp(41 * scores[0]) + math.exp(2 * scores[0]))
+    assert math.isclose(lattice.forward(SPACE + word), want) and np.allclose(lattice.score_words([word, "ab" * 20 + "a"]), [want, lattice.forward(SPACE + word + "a")])
+
+
+def test_existing_scores(spark, tmp_path):
+    rows = [(SPACE, -2.0), ("a", -1.5), ("b", -2.5), ("ab", -2.0), (SPACE + "a", -3.0)]
+    path = tmp_path / "scores.tsv"
+    path.write_text("".join(f"{p}\t{x}\n" for p, x in rows), encoding="utf-8")
+    lattice = Lattice(*given_scores(str(path)))
+    got = {r.doc_id: r.log_prob for r in lm_scores(spark.createDataFrame([(1, "ab a"), (2, "é")], DOCS), scores=str(path)).collect()}
+    assert math.isclose(got[1], lattice.forward(SPACE + "ab") + lattice.forward(SPACE + "a"))
+    assert math.isclose(lattice.forward(SPACE + "ab"), math.log(sum(map(math.exp, (-2 - 1.5 - 2.5, -2 - 2, -3 - 2.5)))))
+    assert math.isclose(got[2], -2 + 2 * -13), "a character without a piece is its bytes, 10 under the least score"
+    with pytest.raises(ValueError, match="no log-probabilities"):
+        given_scores(f"{FOLDER}/{PIECES}")

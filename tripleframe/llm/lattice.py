@@ -15,9 +15,7 @@ from tripleframe.llm.common import SLICE_BYTES, kept, pick, slices, words
 from tripleframe.llm.vocabulary import FOLDER, PIECES, pieces
 
 SPACE = "▁"
-LONGEST = 16
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-TABLE_BITS = 20
 #: longer runs of characters are scored apart, by the same recursion on its own
 MATRIX = 64
 
@@ -27,18 +25,20 @@ class Lattice:
 
     def __init__(self, names: list[str], scores: np.ndarray, bytes_at: np.ndarray):
         self.byte = scores[bytes_at]
-        self.score = {n: s for n, s in zip(names, scores.tolist()) if n and len(n) <= LONGEST}
+        self.score = {n: s for n, s in zip(names, scores.tolist()) if n}
         code = np.array([self.hash(n) for n in self.score], np.uint64)
         self.longest = max(map(len, self.score), default=1)
-        size = 1 << TABLE_BITS
+        #: at most a quarter of the slots is used
+        self.shift = 64 - max(10, math.ceil(math.log2(4 * max(len(code), 1))))
+        size = 1 << 64 - self.shift
         self.code, self.value = np.zeros(size, np.uint64), np.full(size, -np.inf)
         for h, s in zip(code.tolist(), self.score.values()):
-            at = h >> (64 - TABLE_BITS)
+            at = h >> self.shift
             while self.code[at]:
                 at = (at + 1) % size
             self.code[at], self.value[at] = h, s
         used = np.flatnonzero(self.code)
-        home = (self.code[used] >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        home = (self.code[used] >> np.uint64(self.shift)).astype(np.int64)
         self.probes = int(((used - home) % size).max(initial=0)) + 1
 
     @staticmethod
@@ -50,10 +50,10 @@ class Lattice:
         return h or 1
 
     def lookup(self, code: np.ndarray) -> np.ndarray:
-        at = (code >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        at = (code >> np.uint64(self.shift)).astype(np.int64)
         out = np.where(self.code[at] == code, self.value[at], -np.inf)
         for k in range(1, self.probes):
-            near = (at + k) & ((1 << TABLE_BITS) - 1)
+            near = (at + k) & (len(self.code) - 1)
             hit = self.code[near] == code
             out[hit] = self.value[near[hit]]
         return out
@@ -164,20 +164,49 @@ def piece_scores(docs: DataFrame, vocabulary: str = f"{FOLDER}/{PIECES}", smooth
     return ["" if s else n for n, s in zip(names, special)], scores, at
 
 
-def lm_scores(docs: DataFrame, vocabulary: str = f"{FOLDER}/{PIECES}", smoothing: float = 0.5) -> DataFrame:
+def given_scores(path: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """As piece_scores, of an existing unigram vocabulary: a sentencepiece model, or lines of a piece, a tab and its score.
+
+    A byte piece that it doesn't have gets what sentencepiece gives to unknown characters: 10 less than the least score.
+    """
+    if path.endswith(".model"):
+        model = pieces(path)
+        rows = [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    else:
+        with open(path, encoding="utf-8") as file:
+            rows = [(p, float(x)) for p, x in (line.rstrip("\n").rsplit("\t", 1) for line in file if line.strip("\n"))]
+    total = sum(math.exp(x) for _, x in rows)
+    if not 0 < total < 1.1:
+        raise ValueError(f"the scores of {path} are no log-probabilities: their exponentials sum to {total:.3g}")
+    names, scores = [p for p, _ in rows], [x for _, x in rows]
+    known, at = {p: i for i, p in enumerate(names)}, []
+    for piece in (f"<0x{b:02X}>" for b in range(256)):
+        if piece not in known:
+            known[piece] = len(names)
+            names.append(piece)
+            scores.append(min(x for _, x in rows) - 10)
+        at.append(known[piece])
+    special = set(at)
+    return ["" if i in special else n for i, n in enumerate(names)], np.array(scores), np.array(at)
+
+
+def lm_scores(docs: DataFrame, vocabulary: str = f"{FOLDER}/{PIECES}", smoothing: float = 0.5, scores: str | None = None) -> DataFrame:
     """(doc_id, n_words, log_prob, bits_per_byte): the marginal log-probability of each document.
 
     A document's lattice has an edge for every piece of the vocabulary at every place, weighted by the piece's unigram
-    log-probability (see piece_scores), and for a character that is no piece, its byte pieces. The forward recursion in
+    log-probability, and for a character that is no piece, its byte pieces. The forward recursion in
     log space sums over all segmentations. Pieces do not go across white space, so the lattice of a document is those
     of its words one after another, and its log-probability the sum of theirs; each distinct word of a slice of
-    documents is worked out once, all words of a length together.
+    documents is worked out once, all words of a length together. `scores` is the file of an existing unigram vocabulary
+    (see given_scores); without one, the scores of `vocabulary`'s pieces are estimated from the documents (see
+    piece_scores).
 
     Words are runs between ASCII white space, whole texts are scored. A null text has null scores; a text without words
     has log_prob 0 and null bits_per_byte (bytes count words and the space before each). Rows keep their doc_id, null or
-    repeated. Other columns are ignored.
+    repeated. Other columns are ignored; of two that differ in case only, the last counts.
     """
-    shared, name = docs.sparkSession.sparkContext.broadcast(piece_scores(docs, vocabulary, smoothing)), uuid.uuid4().hex
+    known = given_scores(scores) if scores else piece_scores(docs, vocabulary, smoothing)
+    shared, name = docs.sparkSession.sparkContext.broadcast(known), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = kept("lattice", lambda: Lattice(*shared.value), name)
