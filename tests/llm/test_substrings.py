@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from tripleframe.llm import substrings
 from tripleframe.llm.substrings import repeated_substrings, sliding_min, window_hashes
 
 SCHEMA = "doc_id long, text string"
@@ -49,6 +50,19 @@ def test_against_brute_force(spark):
         assert run(spark, rows, width) == brute(rows, width)
 
 
+def test_hot_anchors(spark, monkeypatch):
+    """Copies, and one passage in every document, go by the windows' own hashes, with the same result."""
+    r = random.Random(3)
+    passage = " ".join(r.choice("abcdefgh") for _ in range(9))
+    rows = [(i, " ".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(12))) + f" {passage} " + " ".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(12)))) for i in range(40)]
+    rows += [(100 + i, " ".join(map(str, range(40)))) for i in range(20)] + [(200, "q w e r t y")]
+    want = brute(rows, 10)
+    for hot, small in ((1 << 14, 1 << 17), (5, 1 << 17), (5, 0), (0, 1 << 17)):
+        monkeypatch.setattr(substrings, "HOT", hot)
+        monkeypatch.setattr(substrings, "SMALL", small)
+        assert run(spark, rows, 10) == want
+
+
 def test_edges(spark):
     w = " ".join(map(str, range(30)))
     assert run(spark, [], 5) == []
