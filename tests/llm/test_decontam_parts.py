@@ -42,6 +42,7 @@ def test_noisy_parts_against_brute_force():
 
 def test_passages_keep_the_grid():
     text = sentence(random.Random(23), 60)
-    held = set(Index([(1, text)]).text)
+    index = Index([(1, text)])
+    held = {index.passage(s) for s in range(len(index.start))}
     last = len(text) - SEGMENT
     assert all(text[i : i + SEGMENT].encode() in held for i in (*range(0, last, SEGMENT // 2), last))
