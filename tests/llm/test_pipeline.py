@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm.test_lines import brute as cleaned
+from tests.llm.test_mixing import brute as mixed
+from tests.llm.test_mixing import packed
 from tests.llm.test_simhash import brute as near
 from tests.llm.test_simhash import groups
 from tripleframe.llm import decontam, mixing, quality
@@ -43,7 +45,8 @@ def brute(spark, docs):
 def leaks_exact(texts, items):
     """Passages that are in a text as they are; the inexact ones are for test_decontam, as full alignment is slow."""
     index = decontam.Index(items)
-    return {(d, index.item[s]) for s, passage in enumerate(index.text) for d, t in enumerate(texts) if passage in t.encode()}
+    short = {(d, item) for item, words in index.short for d, t in enumerate(texts) if f" {words} " in f" {t} "}
+    return short | {(d, index.item[index.owner(s)]) for s in range(len(index.start)) for d, t in enumerate(texts) if index.passage(s) in t.encode()}
 
 
 def test_stages_and_run(spark):
@@ -56,12 +59,9 @@ def test_stages_and_run(spark):
         assert sorted(map(repr, map(tuple, frame.collect()))) == sorted(map(repr, want)), name
     assert 0 < frame.count() < len(docs)
     rows = corpus_pipeline.run(spark, SF).collect()
-    kept = {r[0] for r in frame.select("doc_id").collect()}
-    assert rows and {d for r in rows for d in r.doc_ids} == kept
-    ordered = [tuple(r) for r in frame.select("doc_id", "text", "source").collect()]
-    tokens = {s: sum(len(mixing.encode(t, f"{mixing.FOLDER}/{mixing.TIKTOKEN}")) for _, t, x in ordered if x == s) for s in {x for *_, x in ordered}}
-    for s in tokens:
-        assert sum(len(b) for b in {r.block: unpack(r.tokens) for r in rows if r.source == s}.values()) == tokens[s]
+    kept = [tuple(r) for r in frame.select("doc_id", "text", "source").collect()]
+    want = mixed(spark, kept, mixing.BLOCK, mixing.SHARD, -(-sum(map(len, packed(spark, kept, mixing.BLOCK).values())) // mixing.SHARD), mixing.TARGETS, mixing.OTHERS)
+    assert sorted((*r[:7], unpack(r.tokens, r.n_tokens)) for r in rows) == want
 
 
 def test_stage_inputs(spark):

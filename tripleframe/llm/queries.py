@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     t = _table
     return {
-        "op1_mix_sources": lambda s, d: mixing.mix_sources(t(s, d, "documents")),
+        "op1_mix_sources": lambda s, d: mixing.mix_sources(t(s, d, "documents"), mixing.TARGETS, mixing.OTHERS),
         "op2_substring_dedup": lambda s, d: substrings.repeated_substrings(t(s, d, "documents")),
         "op3_lm_scores": lambda s, d: lattice.lm_scores(t(s, d, "documents")),
         "op4_line_dedup": lambda s, d: lines.drop_repeated_lines(t(s, d, "documents")),

@@ -10,8 +10,6 @@ FOLDER = "/opt/tokenizers"
 TIKTOKEN = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: the first number after the ranks: what stands between documents
-END = 50256
 
 
 def encoder(path: str):
@@ -27,6 +25,11 @@ def encoder(path: str):
     return kept(f"tiktoken {path}", make)
 
 
+def end_of(path: str) -> int:
+    """The first number after the ranks: what stands between documents."""
+    return encoder(path).max_token_value + 1
+
+
 def pieces(path: str):
     def make():
         import sentencepiece
