@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripleframe.llm.decontam import drop_contaminated
 from tripleframe.llm.lines import drop_repeated_lines
-from tripleframe.llm.mixing import mix_sources
+from tripleframe.llm.mixing import OTHERS, TARGETS, mix_sources
 from tripleframe.llm.quality import drop_rejected
 from tripleframe.llm.simhash import drop_near_duplicates
 from tripleframe.runtime import shared_dir
@@ -32,7 +32,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs)
+    return mix_sources(docs, TARGETS, OTHERS)
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix_sources", mix)]
