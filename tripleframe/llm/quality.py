@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripleframe.llm.common import like, mix, pick, powers, private, slices, utf8_bytes
+from tripleframe.llm.common import apart, column, like, mix, pick, powers, private, ragged, slices, spans, utf8_bytes
 
 BITS = 18
 CHARS = 4
 BASE = 0x100000001B3
 INVERSE = pow(BASE, -1, 1 << 64)
 SLICE = 2 << 20
+#: of the fit: passes over the rows with their L1, AdaGrad's rate, rows of a batch
+PASSES, RATE, BATCH = ((5, 1e-3), (50, 1e-3), (200, 0.0)), 0.3, 64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LETTER = np.zeros(256, bool)
@@ -123,39 +125,55 @@ def _calibrate(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
 
 
-def _fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, train: np.ndarray, most: int, least_z: float, steps: int = 300, l2: float = 1e-2) -> Head:
-    """On the features that differ most between the classes by a two-sample z of presence; Adam, L2."""
-    size, n = 3 << BITS, len(y)
-    inside = train[doc]
-    pos = np.bincount(feature[inside & (y[doc] > 0)], minlength=size)
-    neg = np.bincount(feature[inside & (y[doc] == 0)], minlength=size)
-    n1, n0 = max((train & (y > 0)).sum(), 1), max((train & (y == 0)).sum(), 1)
-    p = (pos + neg) / (n1 + n0)
-    z = np.abs(pos / n1 - neg / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    z[pos + neg < 5] = 0
-    chosen = np.sort(np.argsort(-z, kind="stable")[:most])
-    chosen = chosen[z[chosen] > least_z]
-    head = Head(np.zeros(size, np.float32), float(np.log((n1 + 0.5) / (n0 + 0.5))))
-    if len(chosen):
-        where = np.full(size, -1)
-        where[chosen] = np.arange(len(chosen))
-        use = where[feature] >= 0
-        d, f, v = doc[use], where[feature[use]], value[use]
-        scale = np.sqrt(np.bincount(f, v * v, minlength=len(chosen)) / n) + 1e-6
-        v = v / scale[f]
-        w, b, m, s = np.zeros(len(chosen)), head.bias, np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-        for t in range(1, steps + 1):
-            logit = np.bincount(d, v * w[f], minlength=n) + b
-            off = np.where(train, 1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y, 0) / train.sum()
-            g = np.append(np.bincount(f, v * off[d], minlength=len(chosen)) + l2 * w, off.sum())
-            m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-            move = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
-            w, b = w - move[:-1], b - move[-1]
-        head.weights[chosen], head.bias = w / scale, float(b)
-    held = ~train
-    if held.any() and 0 < y[held].sum() < held.sum():
-        logit = np.bincount(doc, head.weights[feature] * value, minlength=n)[held] + head.bias
-        head.slope, head.shift = _calibrate(np.clip(logit, -30, 30), y[held])
+def _passes(w: np.ndarray, bias: float, batches: list[tuple], y: np.ndarray, passes: int, l1: float, rate: float) -> float:
+    """Proximal AdaGrad over the batches: a feature's steps follow its own gradients, so that rare words count as common
+    ones do, and L1 takes weights that are no more than noise to 0. Changes `w`, returns the bias."""
+    past, past_bias = np.full(len(w), 1e-8), 1e-8
+    for _ in range(passes):
+        for own, used, place, value, row in batches:
+            mine = w[used]
+            z = np.bincount(row, mine[place] * value, minlength=len(own)) + bias
+            off = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[own]) / len(own)
+            grad = np.bincount(place, value * off[row], minlength=len(used))
+            past[used] += grad * grad
+            step = rate / np.sqrt(past[used])
+            new = mine - step * grad
+            w[used] = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
+            past_bias += off.sum() ** 2
+            bias -= rate * off.sum() / np.sqrt(past_bias)
+    return float(bias)
+
+
+def _fit(begin: np.ndarray, feature: np.ndarray, weight: np.ndarray, y: np.ndarray, train: np.ndarray, passes: tuple[tuple[int, float], ...] = PASSES, rate: float = RATE) -> Head:
+    """Logistic regression with L1 on all features of the rows in `train`, calibrated on the others.
+
+    Row i has the features begin[i] to begin[i + 1], each once. `passes`: how many, and their L1; the first go over all
+    features, the next over those whose weights are not 0 by then.
+    """
+    n, size = len(y), np.diff(begin)
+    head = Head(np.zeros(3 << BITS, np.float32), 0.0)
+    if not n or not train.any():
+        return head
+    rows = np.flatnonzero(train)
+    k1 = y[rows].sum()
+    w, bias = np.zeros(3 << BITS), float(np.log((k1 + 0.5) / (len(rows) - k1 + 0.5)))
+    for k, (many, l1) in enumerate(passes if 0 < k1 < len(rows) else ()):
+        batches = []
+        for a in range(0, len(rows), BATCH):
+            own = rows[a : a + BATCH]
+            at, row = spans(begin[own], size[own]), np.repeat(np.arange(len(own)), size[own])
+            if k:
+                some = w[feature[at]] != 0
+                at, row = at[some], row[some]
+            used, place = np.unique(feature[at], return_inverse=True)
+            batches.append((own, used, place.astype(np.int32), weight[at].astype(np.float64), row))
+        bias = _passes(w, bias, batches, y, many, l1, rate)
+    head.weights[:], head.bias = w, bias
+    held = np.flatnonzero(~train)
+    if len(held) and 0 < y[held].sum() < len(held):
+        at = spans(begin[held], size[held])
+        z = np.bincount(np.repeat(np.arange(len(held)), size[held]), head.weights[feature[at]] * weight[at], minlength=len(held)) + head.bias
+        head.slope, head.shift = _calibrate(np.clip(z, -30, 30), y[held])
     return head
 
 
@@ -166,28 +184,40 @@ def _distinct(text: str) -> tuple[np.ndarray, np.ndarray]:
     return feature.astype(np.int32), np.bincount(inverse, weight, minlength=len(feature)).astype(np.float32)
 
 
-def fit(rows: list[tuple[str, int, int]], chosen: tuple[tuple[int, float], ...] = ((3000, 4.0), (1000, 5.0))) -> tuple[Head, Head]:
-    """Heads for quality and for toxic, of (text, quality, toxic) rows; every fifth row calibrates.
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct features of each row's text instead of the text."""
+    for batch in batches:
+        for part in slices(batch, "text", SLICE):
+            both = [_distinct(t) for t in part.column("text").to_pylist()]
+            at = np.cumsum([0, *(len(f) for f, _ in both)])
+            feature, weight = (np.concatenate([np.zeros(0, k), *(x[i] for x in both)]) for i, k in enumerate((np.int32, np.float32)))
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "quality", "toxic")], ragged(feature, at), ragged(weight, at)], FEATURED)
 
-    `chosen`: for each head, the most features and the least z of a feature.
-    """
-    table = [_distinct(t) for t, _, _ in rows]
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f, _ in table])
-    feature, value = (np.concatenate([np.zeros(0, k), *(x[i] for x in table)]) for i, k in enumerate((np.int32, np.float32)))
-    del table
-    train = np.arange(len(rows)) % 5 != 0
-    return tuple(_fit(doc, feature, value, np.array([r[k] for r in rows], float), train, *most) for k, most in zip((1, 2), chosen))
+
+FEATURED = ["doc_id", "quality", "toxic", "feature", "weight"]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[str, int, int]]:
-    """At most `sample` labelled rows, those first by a hash of the id, whose order is the rows' order."""
+def fit(rows: pa.Table) -> tuple[Head, Head]:
+    """Heads for quality and for toxic, of rows with their features, as of _featured; every fifth row calibrates."""
+    rows = rows.combine_chunks()
+    lists = [rows.column(c).chunk(0) if rows.num_rows else pa.array([], pa.list_(k)) for c, k in (("feature", pa.int32()), ("weight", pa.float32()))]
+    begin = np.concatenate([[0], np.cumsum(np.asarray(lists[0].value_lengths(), np.int64))])
+    feature, weight = (np.asarray(x.flatten()) for x in lists)
+    train = np.arange(rows.num_rows) % 5 != 0
+    return tuple(_fit(begin, feature, weight, np.asarray(rows.column(c), np.float64), train) for c in ("quality", "toxic"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> pa.Table:
+    """At most `sample` labelled rows with their features, those first by a hash of the id, whose order is the rows'."""
     marks = pick(labels, doc_id="long", quality="int", toxic="int").dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id")]
     chosen = marks.orderBy(*order).limit(sample)
     # the marks are few and bounded, so they go to the documents
     rows = pick(docs, doc_id="long", text="string").where("text is not null").join(F.broadcast(chosen), "doc_id")
     # a doc_id of several rows counts once
-    return [tuple(r) for r in rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("q"), F.first("toxic").alias("t")).orderBy(*order).select("text", "q", "t").collect()]
+    once = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
+    out = once.mapInArrow(_featured, "doc_id long, quality int, toxic int, feature array<int>, weight array<float>")
+    return out.orderBy(*order).toArrow()
 
 
 def probabilities(heads: tuple[Head, ...], texts: pa.Array) -> list[np.ndarray]:
@@ -201,12 +231,15 @@ def _model(docs: DataFrame, labels: DataFrame, sample: int):
 def quality_scores(docs: DataFrame, labels: DataFrame, min_quality: float = 0.5, max_toxic: float = 0.5, sample: int = 3000) -> DataFrame:
     """(doc_id, quality, toxic, keep): calibrated probabilities of each document, and whether both thresholds hold.
 
-    The labels' two columns each have a logistic regression on hashed word and character n-grams. They are fitted on the
-    driver on at most `sample` labelled documents, chosen by a hash of the id; a fifth of these calibrate. Documents are
-    scored whole, in Arrow batches, without a shuffle.
+    The labels' two columns each have a logistic regression on hashed word and character n-grams, all those of the rows
+    that train it, with L1 against chance. They are fitted on the driver on at most `sample` labelled documents, chosen
+    by a hash of the id (their features are made by the executors); a fifth of these calibrate. Documents are scored
+    whole, whatever their length, in Arrow batches, without a shuffle.
 
     A row keeps its doc_id, null or repeated. A null text is scored as an empty one, whose probabilities follow from
-    the labels' shares. Without labels both are 0.5, and the row is kept. Other columns are ignored.
+    the labels' shares. Labels with a null are no labels; of several of one doc_id the greatest of each column counts;
+    of several texts of one doc_id the least trains. Without labels both probabilities are 0.5, and the row is kept.
+    Empty tables yield nothing. Other columns are ignored; of two that differ in case only, the last counts.
     """
     shared = _model(docs, labels, sample)
 
@@ -222,8 +255,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, min_quality: float = 0.5,
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, min_quality: float = 0.5, max_toxic: float = 0.5, sample: int = 3000) -> DataFrame:
     """`docs` without the rows that quality_scores does not keep; all columns stay."""
-    shared = _model(docs, labels, sample)
-    text, name = next(c for c in docs.columns if c.lower() == "text"), private(docs, "tf_text")
+    own = apart(docs)
+    shared, name = _model(own, labels, sample), private(own, "tf_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,4 +264,4 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, min_quality: float = 0.5,
                 good, bad = probabilities(shared.value, part.column(name))
                 yield part.filter(pa.array((good >= min_quality) & (bad <= max_toxic))).drop_columns([name])
 
-    return like(docs, docs.withColumn(name, F.col(text).cast("string")).mapInArrow(run, docs.schema))
+    return like(docs, own.withColumn(name, F.col(column(own, "text")).cast("string")).mapInArrow(run, own.schema))
