@@ -20,6 +20,8 @@ SHARD = 1024
 SEED = 20240607
 #: tokens of a bucket of documents, which are packed together
 BUCKET = 1 << 22
+#: sources whose bucket counts are sent to all tasks; those of more are joined
+SOURCES = 1 << 16
 #: shards whose draws are summed together
 GROUP = 16
 #: the queries' target weights: sources that are not named get OTHERS
@@ -167,7 +169,7 @@ def mix_sources(
     encoded = written(source.mapInArrow(_encoded(vocabulary), ENCODED), "encoded")
     totals = [tuple(r) for r in encoded.groupBy("source").agg(F.sum("n")).collect()]
     counts = spark.createDataFrame([(s, -(-n // BUCKET)) for s, n in totals], "source string, buckets long")
-    inside = encoded.join(counts, "source").withColumn("bucket", bucket(F.col("buckets")))
+    inside = encoded.join(F.broadcast(counts) if len(totals) <= SOURCES else counts, "source").withColumn("bucket", bucket(F.col("buckets")))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     packed = inside.groupBy("source", "bucket").agg(F.ceil(F.sum("n") / block).cast("long").alias("blocks"))
     packed = written(packed.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0))), "buckets")
