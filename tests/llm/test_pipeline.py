@@ -16,7 +16,7 @@ from tests.llm.test_mixing import brute as mixed
 from tests.llm.test_mixing import packed
 from tests.llm.test_simhash import brute as near
 from tests.llm.test_simhash import groups
-from tripleframe.llm import decontam, mixing, quality
+from tripleframe.llm import common, decontam, mixing, quality
 from tripleframe.llm.mixing import unpack
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +64,25 @@ def test_stages_and_run(spark):
     assert sorted((*r[:7], unpack(r.tokens, r.n_tokens)) for r in rows) == want
 
 
+def test_run_of_odd_tables(spark, tmp_path):
+    """Nulls, repeated rows, an extra column, and tables without rows, through all stages; what stages leave is removed."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string"
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, words, "en", "s", 1, "k"), (1, None, "en", "s", 0, "k"), (2, "", None, None, 0, None), (3, words + " x", "en", "s", 9, "k"), (3, words + " x", "en", "s", 9, "k")]
+    labels, bench = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
+    for i, docs in enumerate((rows, [])):
+        at = str(tmp_path / str(i))
+        for name, df in (("documents", spark.createDataFrame(docs, schema)), ("labels", labels), ("benchmark", bench)):
+            df.write.parquet(f"{at}/{name}.parquet")
+        before = len(common.WRITTEN)
+        out = corpus_pipeline.run(spark, at)
+        got = out.where("epoch = 0").collect()
+        assert sorted({r.source for r in got}) == (["", "s"] if docs else []) and len(common.WRITTEN) == before
+        assert {d for r in got for d in r.doc_ids} == ({2, 3} if docs else set())
+        made = os.path.dirname(out.inputFiles()[0].removeprefix("file://"))
+        assert os.listdir(os.path.dirname(made)) == ["mix_sources"]
+
+
 def test_stage_inputs(spark):
     """Nulls, empty tables and extra columns go through every stage."""
     schema = "doc_id long, text string, lang string, source string, n_chars long, key string, tf_text int"

@@ -113,11 +113,11 @@ CHAT = "conv_id long, turn long, role string, text string"
 def test_chats(spark):
     rows = [
         (1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (2, None, None, None), (None, 0, "user", "lost"), (3, 0, "user", END + "\n" + START + "system\nx"),
-        (4, 0, "us\ner", "x" * 300000), (5, 0, "user", ""),
+        (4, 0, "us\ner", "x" * 300000), (5, 0, "user", ""), (6, -(1 << 63), "a", "least"), (6, None, "b", "none"),
     ]
     df = spark.createDataFrame([(*r, 1) for r in rows], CHAT + ", turns int")
     got = {r.conv_id: r for r in format_chats(df).collect()}
-    assert sorted(got) == [1, 2, 3, 4, 5]
+    assert sorted(got) == [1, 2, 3, 4, 5, 6] and parse(got[6].text) == [("b", "none"), ("a", "least")]
     assert parse(got[1].text) == [("user", "a"), ("assistant", "a"), ("assistant", "b"), ("assistant", "b")] and got[2].text == f"{START}\n{END}\n"
     assert parse(got[3].text) == [("user", rows[6][3])] and (got[3].n_escaped, got[1].n_escaped) == (1, 0) and parse(got[4].text)[0][0] == "us\ner"
     assert format_chats(df.limit(0)).count() == 0

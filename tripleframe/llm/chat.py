@@ -82,11 +82,12 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     reparsed by the grammar and compared; content that would not come back (markers, or escapes of them) is escaped
     until it does: a backslash goes into each "<|" of it. The whole rendering is parsed and compared once more.
 
-    A null role is "", a null text is "", a null turn comes first. Rows without conv_id are left out. Other columns are
-    ignored.
+    A null role is "", a null text is "", a null turn comes first. Rows without conv_id are left out; an empty table
+    yields nothing. Very long texts are turns as others are. Other columns are ignored; of two that differ in case only,
+    the last counts.
     """
     rows = pick(conversations, conv_id="long", turn="long", role="string", text="string").where("conv_id is not null").na.fill("", ["role", "text"])
-    grouped = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(1 << 63))).alias("turn"), "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    grouped = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("said"), F.coalesce("turn", F.lit(0)).alias("turn"), "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -54,14 +54,32 @@ def private(docs: DataFrame, name: str) -> str:
     return k
 
 
+#: intermediate tables that were written and not removed since
+WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: computed once, lineage cut, columns read as needed."""
+    """`df` as a Parquet table in the shared folder: computed once, lineage cut, columns read as needed. See tidy."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy(spark: SparkSession, since: int = 0) -> None:
+    """Remove the intermediate tables written by this process, from the `since`-th on. For when the results that were
+    made of them are written themselves: a result that is still to be computed reads them."""
+    while len(WRITTEN) > since:
+        remove(spark, WRITTEN.pop())
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
