@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tripleframe.llm.common import WRITTEN, remove, tidy
 from tripleframe.llm.decontam import drop_contaminated
 from tripleframe.llm.lines import drop_repeated_lines
 from tripleframe.llm.mixing import OTHERS, TARGETS, mix_sources
@@ -42,10 +43,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. Stages are written under the shared folder, each reread as the next one's documents."""
+    """The rows of the last stage. Stages are written under the shared folder, each reread as the next one's documents; a
+    stage's own intermediate tables and its input are removed once it is written, the result stays.
+
+    Null texts, null ids and rows given twice pass the filters as the operators say, and mixing leaves null texts out. An
+    empty table of documents gives no rows, without labels nothing is rejected, without benchmark nothing is
+    contaminated. Other columns than those of documents are kept up to mixing, which drops them.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     at = f"{shared_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
+        since = len(WRITTEN)
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        tidy(spark, since)
+        if before:
+            remove(spark, before)
+        before = f"{at}/{name}"
     return docs
