@@ -24,10 +24,13 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     for name in ("validate", "query", "graph", "site", "serve"):
         c = commands.add_parser(name)
         c.add_argument("files", nargs="+")
-        c.add_argument("--imports", action="store_true", help="also read what a single file imports")
+        c.add_argument("--imports", action="store_true", help="also read what the files import")
         if name == "validate":
             c.add_argument("--format", choices=("json", "text"), default="text")
             c.add_argument("--severity", choices=SEVERITIES, default="info")
+            c.add_argument("--errors-only", action="store_true", help="the same as --severity error")
+            c.add_argument("--quiet", action="store_true", help="totals alone")
+            c.add_argument("--verbose", action="store_true", help="with confidence and context")
         if name == "query":
             c.add_argument("--query", required=True)
             c.add_argument("--inference", choices=[i.value for i in Inference], default="none")
@@ -42,10 +45,10 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = arguments(args)
     spark = spark or SparkSession.builder.appName("tripleframe").getOrCreate()
-    triples = read_with_imports(spark, a.files[0]) if a.imports and len(a.files) == 1 else read_triples(spark, a.files)
+    triples = read_with_imports(spark, a.files) if a.imports else read_triples(spark, a.files)
     if a.command == "validate":
-        report = Validator(triples).validate().at_least(a.severity)
-        print(report_json(report) if a.format == "json" else report_text(report))
+        report = Validator(triples).validate().at_least("error" if a.errors_only else a.severity)
+        print(report_json(report) if a.format == "json" else report_text(report, a.verbose, a.quiet))
         return int(report.issues.where("severity = 'error'").limit(1).count())
     if a.command == "query":
         store = TripleStore(spark)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,14 +41,21 @@ def fetch_one(uri: str, client: Client = http_get, timeout: float = 10.0) -> dic
     return out | {"content_type": kind, "body": body}
 
 
-def fetch(uris: DataFrame, client: Client = http_get, timeout: float = 10.0) -> DataFrame:
-    """A resource for each distinct address in the first column."""
+def fetch(uris: DataFrame, client: Client = http_get, timeout: float = 10.0, at_once: int = 8) -> DataFrame:
+    """A resource for each distinct address in the first column, `at_once` in each task.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield arrow_rows([fetch_one(u, client, timeout) for u in batch.column("uri").to_pylist()], RESOURCE_SCHEMA)
+    The addresses are spread over all tasks by their hash: joined by size, a few bytes each, one would fetch them all.
+    """
 
-    return uris.select(F.col(uris.columns[0]).alias("uri")).dropna().distinct().mapInArrow(run, RESOURCE_SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 16 * at_once):
+                    own = batch.column("uri").slice(a, 16 * at_once).to_pylist()
+                    yield arrow_rows(list(pool.map(lambda u: fetch_one(u, client, timeout), own)), RESOURCE_SCHEMA)
+
+    tasks = int(uris.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return uris.select(F.col(uris.columns[0]).alias("uri")).dropna().distinct().repartition(tasks, F.xxhash64("uri")).mapInArrow(run, RESOURCE_SCHEMA)
 
 
 def fetch_all(df: DataFrame, client: Client = http_get, timeout: float = 10.0) -> DataFrame:

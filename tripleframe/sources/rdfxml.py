@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import xml.etree.ElementTree as ET
 
 from tripleframe.model import RDF, TYPE
-from tripleframe.sources.turtle import ParseError
+from tripleframe.sources.turtle import ParseError, salt_of
 
 LANG = "{http://www.w3.org/XML/1998/namespace}lang"
 DEEPEST = 50
@@ -18,9 +17,8 @@ def _name(tag: str) -> str:
 
 
 class Reader:
-    def __init__(self, text: str):
-        self.text = text
-        self.salt = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:8]
+    def __init__(self, text: str, source: str = ""):
+        self.text, self.salt = text, salt_of(text, source)
         self.count = 0
         self.rows: list[dict] = []
 
@@ -84,5 +82,5 @@ class Reader:
             self.add(subject, name, text)
 
 
-def parse_triples(text: str) -> list[dict]:
-    return Reader(text).parse()
+def parse_triples(text: str, source: str = "") -> list[dict]:
+    return Reader(text, source).parse()

@@ -10,6 +10,11 @@ from dataclasses import dataclass, field
 from tripleframe.model import RDF, TYPE, XSD
 
 
+def salt_of(text: str, source: str) -> str:
+    """96 bits of a hash, which two of any number of files do not share."""
+    return hashlib.sha256(f"{source}\0{text}".encode("utf-8", "surrogatepass")).hexdigest()[:24]
+
+
 class ParseError(ValueError):
     """The text is not of the format."""
 
@@ -164,12 +169,12 @@ class TripleParser(Reader):
     """Turtle with RDF 1.2 triple terms, to triples.
 
     Addresses without :// are put after the base. Numbers without a dot are decimals, others doubles. Generated blank
-    nodes carry a part of the text's hash, so that those of several files stay apart.
+    nodes carry a hash of the text and where it is from, so that those of several files stay apart.
     """
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, source: str = ""):
         super().__init__(text)
-        self.salt = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:8]
+        self.salt = salt_of(text, source)
         self.count = 0
         self.out: list[tuple[str, str, Node]] = []
 
@@ -272,11 +277,11 @@ class TripleParser(Reader):
         return Node("bnode", node.value, triple_term=True)
 
 
-def parse_triples(text: str) -> list[dict]:
+def parse_triples(text: str, source: str = "") -> list[dict]:
     """Rows of TRIPLE_SCHEMA, without graph."""
     return [
         {"subject": s, "predicate": p, "object": o.value, "is_literal": o.kind == "literal", "datatype": o.datatype, "language": o.language, "direction": o.direction, "is_triple_term": o.triple_term, "reifier": None, "pos": i}
-        for i, (s, p, o) in enumerate(TripleParser(text).parse())
+        for i, (s, p, o) in enumerate(TripleParser(text, source).parse())
     ]
 
 
