@@ -27,3 +27,42 @@ def closure(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         if delta.isEmpty():
             return known
         known = cut(known.unionByName(delta))
+
+
+def reach(edges: DataFrame, start: str) -> DataFrame:
+    """(node): what a path of one edge or more leads to from `start`. Only the frontier of each step is joined."""
+    e = edges.select("src", "dst").dropna().distinct()
+    seen = frontier = cut(e.where(F.col("src") == start).select(F.col("dst").alias("node")))
+    while not frontier.isEmpty():
+        found = frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        frontier = cut(found.join(seen, "node", "left_anti"))
+        seen = cut(seen.unionByName(frontier))
+    return seen
+
+
+def reaches(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(src, dst): what a path of one edge or more leads to from each `src` of `starts`; pairs of other nodes are not made."""
+    e = edges.select("src", "dst").dropna().distinct()
+    seen = frontier = cut(e.join(starts.select("src").distinct(), "src", "left_semi"))
+    step = e.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
+    while not frontier.isEmpty():
+        found = frontier.join(step, F.col("dst") == F.col("mid")).select("src", F.col("far").alias("dst")).distinct()
+        frontier = cut(found.join(seen, ["src", "dst"], "left_anti"))
+        seen = cut(seen.unionByName(frontier))
+    return seen
+
+
+def core(edges: DataFrame, rounds: int = 8) -> DataFrame:
+    """The edges that can be on a cycle: those from nodes that nothing leads to, and to nodes that lead nowhere, are
+    taken off, round by round; the result has all cycles, whatever the number of rounds."""
+    e = edges.select("src", "dst").dropna().distinct()
+    left = None
+    for _ in range(rounds):
+        ends = e.select(F.col("src").alias("n")).distinct().join(e.select(F.col("dst").alias("n")).distinct(), "n")
+        inside = e.join(ends.withColumnRenamed("n", "src"), "src", "left_semi").join(ends.withColumnRenamed("n", "dst"), "dst", "left_semi")
+        e = cut(inside.select("src", "dst"))
+        n = e.count()
+        if n == left or not n:
+            break
+        left = n
+    return e

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripleframe.model import SKOS, TYPE
-from tripleframe.operators.closure import closure
+from tripleframe.operators.closure import closure, core, reach
 
 KINDS = {SKOS.Concept: "concept", SKOS.ConceptScheme: "scheme", SKOS.Collection: "collection", SKOS.OrderedCollection: "ordered"}
 
@@ -53,6 +53,16 @@ class Hierarchy:
     def matches(self, predicate: str) -> DataFrame:
         return self._pairs(predicate)
 
+    def node(self, iri: str) -> DataFrame:
+        """(kind, predicate, value): a node's kind and the facts that count; no rows if it is not declared."""
+        kind = self.nodes.where(F.col("iri") == iri).groupBy("iri").agg(F.min_by("kind", "at").alias("kind"), F.min("at").alias("at"))
+        own = self.statements.where(F.col("subject") == iri).select("subject", "predicate", F.col("object").alias("value"), F.struct("pos", "seq").alias("said"))
+        return kind.join(own, (F.col("iri") == F.col("subject")) & (F.col("at") <= F.col("said"))).select("kind", "predicate", "value")
+
+    def adding(self, statements: DataFrame) -> Hierarchy:
+        """The hierarchy of these statements as well."""
+        return Hierarchy(self.statements.unionByName(statements))
+
     def facts(self, predicate: str) -> DataFrame:
         """(iri, value): of nodes that were declared earlier."""
         own = self.statements.where(F.col("predicate") == predicate).select(F.col("subject").alias("s"), F.col("object").alias("value"), F.struct("pos", "seq").alias("said"))
@@ -60,13 +70,14 @@ class Hierarchy:
         return own.join(first, (F.col("s") == F.col("iri")) & (F.col("at") < F.col("said"))).select("iri", "value")
 
     def all_broader(self, iri: str) -> DataFrame:
-        return self.ancestors.where((F.col("src") == iri) & (F.col("dst") != iri)).select(F.col("dst").alias("iri"))
+        return reach(self.broader, iri).where(F.col("node") != iri).select(F.col("node").alias("iri"))
 
     def all_narrower(self, iri: str) -> DataFrame:
-        return self.ancestors.where((F.col("dst") == iri) & (F.col("src") != iri)).select(F.col("src").alias("iri"))
+        return reach(self.narrower, iri).where(F.col("node") != iri).select(F.col("node").alias("iri"))
 
     def cyclic(self) -> DataFrame:
-        return self.ancestors.where("src = dst").select(F.col("src").alias("iri"))
+        """Nodes on cycles; pairs are only made of edges that can be on one."""
+        return closure(core(self.broader)).where("src = dst").select(F.col("src").alias("iri"))
 
     def has_cycle(self) -> tuple[bool, str]:
         """With the least node on a cycle."""
@@ -89,9 +100,9 @@ class Hierarchy:
         back = self.facts(SKOS.topConceptOf).where(F.col("value") == scheme).select(F.col("iri").alias("top")).distinct()
         return said.join(back, "top", "left_semi").select(F.col("top").alias("iri"))
 
-    def walk(self, order: str = "pre", depth: int = 64) -> Iterator[tuple[str, str, int]]:
+    def walk(self, order: str = "pre", depth: int | None = None) -> Iterator[tuple[str, str, int]]:
         """(kind, iri, depth) of each node and what it leads to: a concept to broader ones, a scheme to its top concepts,
-        a collection to its members. For the driver; cycles are refused."""
+        a collection to its members. For the driver; cycles are refused, as are paths of more than `depth` steps."""
         if order not in ("pre", "post"):
             raise ValueError("order is pre or post")
         if self.has_cycle()[0]:
@@ -103,14 +114,15 @@ class Hierarchy:
         for src, dst in sorted(map(tuple, reduce(DataFrame.unionByName, parts).distinct().collect())):
             down.setdefault(src, []).append(dst)
 
-        def visit(iri: str, at: int) -> Iterator[tuple[str, str, int]]:
-            own = (kinds.get(iri, "concept"), iri, at)
-            if order == "pre":
-                yield own
-            for child in down.get(iri, ()) if at < depth else ():
-                yield from visit(child, at + 1)
-            if order == "post":
-                yield own
-
-        for _, iri in nodes:
-            yield from visit(iri, 0)
+        for _, root in nodes:
+            todo = [(root, 0, False)]
+            while todo:
+                iri, at, done = todo.pop()
+                if depth is not None and at > depth:
+                    raise ValueError(f"{iri} is more than {depth} steps from {root}")
+                own = (kinds.get(iri, "concept"), iri, at)
+                if done or order == "pre":
+                    yield own
+                if not done:
+                    todo += [(iri, at, True)] * (order == "post")
+                    todo += [(child, at + 1, False) for child in reversed(down.get(iri, ()))]

@@ -20,6 +20,8 @@ class Context:
 
     statements: DataFrame
     hierarchy: Hierarchy
+    #: beyond so many pairs transitive_exact_match raises
+    max_pairs: int | None = None
 
 
 Rule = Callable[[Context], tuple[DataFrame | None, DataFrame | None]]
@@ -68,6 +70,8 @@ def transitive_exact_match(c: Context):
     """Each target d of a match of s with every subject of a match other than s and d, both ways, as sets."""
     e = _source(c, SKOS.exactMatch)
     subjects = e.select(F.col("subject").alias("o")).distinct()
+    if c.max_pairs is not None and (n := targets(e).count() * subjects.count()) > c.max_pairs:
+        raise ValueError(f"exactMatch would make {n} pairs")
     pairs = targets(e).join(subjects, (F.col("o") != F.col("d")) & (F.col("many") | (F.col("o") != F.col("only"))))
     pairs = pairs.where(~F.col("d").contains("|") & ~F.col("o").contains("|")).select("d", "o")
     out = [pairs.select(*_fact(a, SKOS.exactMatch, b, True, nowhere())) for a, b in (("d", "o"), ("o", "d"))]
@@ -94,9 +98,9 @@ DEFAULT_RULES: dict[str, Rule] = {
 class RuleEngine:
     """An ordered list of rules. A rule takes the context and returns facts and inconsistencies, either of them None."""
 
-    def __init__(self, statements: DataFrame, source_file: str = ""):
+    def __init__(self, statements: DataFrame, source_file: str = "", max_pairs: int | None = None):
         named = statements.withColumn("file", F.when(F.coalesce(F.col("file"), F.lit("")) == "", F.lit(source_file)).otherwise(F.col("file")))
-        self.context = Context(named, Hierarchy(named))
+        self.context = Context(named, Hierarchy(named), max_pairs)
         self.rules = dict(DEFAULT_RULES)
         spark = statements.sparkSession
         self.facts, self.inconsistencies = spark.createDataFrame([], FACT_SCHEMA), spark.createDataFrame([], INCONSISTENCY_SCHEMA)

@@ -103,20 +103,20 @@ def authority_match(df: DataFrame, max_pairs: int | None = None) -> DataFrame:
     return pairs.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("many")))).select(*inferred("subject", SKOS.exactMatch, "s2", ""))
 
 
-def branches(mode: Inference, host: Authority) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
-    """Each rule of the mode, with the predicate of its output."""
+def branches(mode: Inference, host: Authority, max_pairs: int | None = None) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
+    """Each rule of the mode, with the predicate of its output. `max_pairs` guards those that are quadratic."""
     if mode is Inference.NONE:
         return []
     up = [(SKOS.narrower, lambda t: inverse(t, SKOS.broader, SKOS.narrower)), (SKOS.broader, lambda t: transitive(t, SKOS.broader))]
     down = [(SKOS.broader, lambda t: inverse(t, SKOS.narrower, SKOS.broader)), (SKOS.narrower, lambda t: transitive(t, SKOS.narrower))]
-    by = {Inference.BROADER: up, Inference.NARROWER: down, Inference.RELATED: [(SKOS.related, symmetric)], Inference.EXACT_MATCH: [(SKOS.exactMatch, exact_match)], Inference.CLOSE_MATCH: [(SKOS.exactMatch, close_match)]}
+    by = {Inference.BROADER: up, Inference.NARROWER: down, Inference.RELATED: [(SKOS.related, symmetric)], Inference.EXACT_MATCH: [(SKOS.exactMatch, lambda t: exact_match(t, max_pairs))], Inference.CLOSE_MATCH: [(SKOS.exactMatch, close_match)]}
     out = [x for m, rules in by.items() if mode in (m, Inference.ALL) for x in rules]
-    return out + [(SKOS.exactMatch, authority_match)] * (host is Authority.AUTHORITY)
+    return out + [(SKOS.exactMatch, lambda t: authority_match(t, max_pairs))] * (host is Authority.AUTHORITY)
 
 
-def infer(df: DataFrame, mode: Inference = Inference.ALL, host: Authority = Authority.NONE) -> DataFrame:
+def infer(df: DataFrame, mode: Inference = Inference.ALL, host: Authority = Authority.NONE, max_pairs: int | None = None) -> DataFrame:
     """The triples, and what each rule of the mode infers from them. Authority matching needs a mode as well."""
     df = triples(df)
-    return reduce(DataFrame.unionByName, [df, *(rule(df) for _, rule in branches(mode, host))])
+    return reduce(DataFrame.unionByName, [df, *(rule(df) for _, rule in branches(mode, host, max_pairs))])
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tripleframe.functions.terms import is_uri, label_language, normal_label
 from tripleframe.model import SKOS, TYPE
-from tripleframe.operators.closure import closure
+from tripleframe.operators.closure import closure, core, reaches
+from tripleframe.runtime import cut
 
 SEVERITIES = ("info", "warning", "error")
 
@@ -43,31 +44,74 @@ class Report:
         return self.issues.orderBy(rank, "type", "subject", "message")
 
 
+#: what the checks look at
+LOOKED_AT = (TYPE, SKOS.prefLabel, SKOS.altLabel, SKOS.notation, SKOS.inScheme, SKOS.hasTopConcept, SKOS.broader, SKOS.narrower, SKOS.exactMatch, SKOS.closeMatch)
+#: of nodes without a fact: kind of node, predicate, severity, confidence, message
+LACKING = {
+    "missing_preferred_label": ("concept", SKOS.prefLabel, "warning", 1.0, "concept has no preferred label"),
+    "missing_notation": ("concept", SKOS.notation, "info", 0.5, "concept has no notation"),
+    "orphan_concept": ("concept", SKOS.inScheme, "warning", 0.8, "concept is in no scheme"),
+    "missing_top_concept": ("scheme", SKOS.hasTopConcept, "info", 0.7, "scheme has no top concept"),
+}
+
+
 class Validator:
+    """Ten checks. The triples they look at are taken out once, into the shared folder; what a node lacks is told by one
+    aggregation over subjects."""
+
     def __init__(self, triples: DataFrame):
-        self.triples = triples
+        self.given = triples
+
+    @cached_property
+    def triples(self) -> DataFrame:
+        return cut(self.given.where(F.col("predicate").isin(*LOOKED_AT)).select("subject", "predicate", "object"))
 
     def having(self, predicate: str) -> DataFrame:
         return self.triples.where(F.col("predicate") == predicate).select("subject", "object")
 
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """(subject, concept, scheme, has): what each typed subject is, and of which predicates it has a fact."""
+        said = lambda *kinds: F.max((F.col("predicate") == TYPE) & F.col("object").isin(*kinds))
+        has = [F.max(F.col("predicate") == p).alias(c) for c, (_, p, *_) in LACKING.items()]
+        flags = self.triples.groupBy("subject").agg(said(SKOS.Concept, SKOS.Collection).alias("concept"), said(SKOS.ConceptScheme).alias("scheme"), *has)
+        return cut(flags.where("concept or scheme"))
+
     @cached_property
     def concepts(self) -> DataFrame:
         """Subjects typed Concept or Collection."""
-        return self.having(TYPE).where(F.col("object").isin(SKOS.Concept, SKOS.Collection)).select("subject").distinct()
+        return self.nodes.where("concept").select("subject")
 
     @cached_property
     def schemes(self) -> DataFrame:
-        return self.having(TYPE).where(F.col("object") == SKOS.ConceptScheme).select("subject").distinct()
+        return self.nodes.where("scheme").select("subject")
 
     @cached_property
     def above(self) -> DataFrame:
-        return closure(self.having(SKOS.broader).select(F.col("subject").alias("src"), F.col("object").alias("dst")))
-
-    def _without(self, nodes: DataFrame, predicate: str) -> DataFrame:
-        return nodes.join(self.having(predicate), "subject", "left_anti")
+        """(src, dst): what is broader than the objects of narrower, over any number of steps."""
+        broader = self.having(SKOS.broader).select(F.col("subject").alias("src"), F.col("object").alias("dst"))
+        return reaches(broader, self.having(SKOS.narrower).select(F.col("object").alias("src")))
+
+    def lacking(self, *kinds: str) -> DataFrame:
+        """Issues of nodes without a fact, all kinds in one scan."""
+        every = [
+            F.when(F.col(node) & ~F.col(kind), F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), F.lit(confidence).alias("confidence")))
+            for kind, (node, _, severity, confidence, message) in LACKING.items() if kind in kinds
+        ]
+        found = self.nodes.select("subject", F.explode(F.array_compact(F.array(*every))).alias("x"))
+        return found.select("x.type", "x.severity", "subject", "x.message", F.lit(None).cast("map<string,string>").alias("context"), "x.confidence")
 
     def missing_preferred_label(self) -> DataFrame:
-        return self._without(self.concepts, SKOS.prefLabel).select(*_issue("missing_preferred_label", "warning", 1.0, F.lit("concept has no preferred label")))
+        return self.lacking("missing_preferred_label")
+
+    def missing_notation(self) -> DataFrame:
+        return self.lacking("missing_notation")
+
+    def orphan_concept(self) -> DataFrame:
+        return self.lacking("orphan_concept")
+
+    def missing_top_concept(self) -> DataFrame:
+        return self.lacking("missing_top_concept")
 
     def multiple_preferred_labels(self) -> DataFrame:
         label = self.having(SKOS.prefLabel).select("subject", label_language(F.col("object")).alias("language"))
@@ -80,17 +124,9 @@ class Validator:
         both = one.join(two, ["subject", "label"]).groupBy("subject").agg(F.min("label").alias("label"))
         return both.join(self.concepts, "subject", "left_semi").select(*_issue("overlapping_labels", "warning", 0.9, F.concat(F.lit("preferred and alternative label are both '"), F.col("label"), F.lit("'")), {"label": F.col("label")}))
 
-    def missing_notation(self) -> DataFrame:
-        return self._without(self.concepts, SKOS.notation).select(*_issue("missing_notation", "info", 0.5, F.lit("concept has no notation")))
-
-    def orphan_concept(self) -> DataFrame:
-        return self._without(self.concepts, SKOS.inScheme).select(*_issue("orphan_concept", "warning", 0.8, F.lit("concept is in no scheme")))
-
-    def missing_top_concept(self) -> DataFrame:
-        return self._without(self.schemes, SKOS.hasTopConcept).select(*_issue("missing_top_concept", "info", 0.7, F.lit("scheme has no top concept")))
-
     def circular_broader_relation(self) -> DataFrame:
-        loop = self.above.where("src = dst").select(F.col("src").alias("subject"))
+        broader = self.having(SKOS.broader).select(F.col("subject").alias("src"), F.col("object").alias("dst"))
+        loop = closure(core(broader)).where("src = dst").select(F.col("src").alias("subject"))
         return loop.join(self.concepts, "subject", "left_semi").select(*_issue("circular_broader_relation", "error", 1.0, F.lit("concept is broader than itself")))
 
     def inconsistent_hierarchy(self) -> DataFrame:
@@ -114,7 +150,7 @@ class Validator:
     )
 
     def issues(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, (getattr(self, c)() for c in self.CHECKS))
+        return reduce(DataFrame.unionByName, [self.lacking(*LACKING), *(getattr(self, c)() for c in self.CHECKS if c not in LACKING)])
 
     def validate(self) -> Report:
         return Report(self.issues(), self.concepts.count(), self.schemes.count())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tripleframe.functions.numbers import number, show
@@ -89,6 +89,11 @@ class Compiler:
         """Natural join; a variable that can be unbound is compatible with anything while it is unbound."""
         shared = [v for v in a.names if v in b.names]
         exact = [v for v in shared if v not in a.maybe and v not in b.maybe]
+        # without a key, rows that have the variable are joined by it, and only the others are compatible with all
+        if not exact and (v := next((v for v in shared if v in a.maybe), None)):
+            return self.apart(a, b, how, v)
+        if not exact and how == "inner" and shared:
+            return self.apart(b, a, how, shared[0])
         names = {**a.names, **{v: c for v, c in b.names.items() if v not in a.names}}
         maybe = {v for v in a.maybe | b.maybe if not ((v in a.names and v not in a.maybe) or (v in b.names and v not in b.maybe))}
         if how == "left":
@@ -114,6 +119,20 @@ class Compiler:
                 out.append(F.coalesce(F.col(c), F.col(f"r_{c}")).alias(c) if both else F.col(c))
         return Rows(df.select(*out) if out else df.select(F.lit(1).alias("v_none")), names, maybe, extras)
 
+    def apart(self, a: Rows, b: Rows, how: str, v: str) -> Rows:
+        """The join of the rows of `a` where `v` is bound, and of those where it is not, on which it then has no bearing."""
+        column, own = a.names[v], set(a.extras.get(v, {}).values())
+        bound = Rows(a.df.where(F.col(column).isNotNull()), a.names, a.maybe - {v}, a.extras)
+        free = Rows(a.df.where(F.col(column).isNull()).drop(column, *own), {x: c for x, c in a.names.items() if x != v}, a.maybe - {v}, {x: e for x, e in a.extras.items() if x != v})
+        parts = [self.join(bound, b, how), self.join(free, b, how)]
+        names, extras = parts[0].names, parts[0].extras
+        frames = []
+        for p in parts:
+            pairs = [(p.names[x], c) for x, c in names.items()] + [(p.extras.get(x, {}).get(k), c) for x, e in extras.items() for k, c in e.items()]
+            frames.append(p.df.select(*[(F.col(x) if x in p.df.columns else F.lit(None).cast("string")).alias(c) for x, c in pairs]) if pairs else p.df)
+        maybe = parts[0].maybe | parts[1].maybe
+        return Rows(frames[0].unionByName(frames[1]), names, maybe, extras)
+
     def unique(self) -> str:
         self.fresh += 1
         return f"x{self.fresh}"
@@ -179,8 +198,9 @@ class Compiler:
 
     def keyed(self, rows: Rows) -> tuple[Rows, str]:
         """With the row itself as a key: equal rows are extended alike, so they may share it."""
-        key = self.unique()
-        value = F.to_json(F.struct(*rows.columns())) if rows.columns() else F.lit("")
+        key, columns = self.unique(), [x for c in rows.columns() for x in (F.col(c), F.col(c).isNull())]
+        # two hashes of 64 bits, with which of the columns are null: the key of a shuffle is 16 bytes, whatever the row is
+        value = F.struct(F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *columns))
         return Rows(rows.df.withColumn(key, value), rows.names, rows.maybe, rows.extras), key
 
     def progressive(self, rows: Rows, patterns: list[Pattern]) -> Rows:
@@ -193,9 +213,8 @@ class Compiler:
         for p in patterns:
             inner, mark = self.optional_join(inner, self.pattern(p))
             any_ = self.unique()
-            matched = inner.df.groupBy(key).agg(F.max(mark).alias(any_)).withColumnRenamed(key, f"k_{key}")
-            df = inner.df.join(matched, F.col(key) == F.col(f"k_{key}"))
-            inner.df = df.where(F.col(mark).isNotNull() | F.col(any_).isNull()).drop(mark, any_, f"k_{key}")
+            df = inner.df.withColumn(any_, F.max(mark).over(Window.partitionBy(key)))
+            inner.df = df.where(F.col(mark).isNotNull() | F.col(any_).isNull()).drop(mark, any_)
         inner.names.pop("")
         inner.df = inner.df.drop(key)
         return inner

@@ -31,10 +31,11 @@ class Engine:
     """SELECT queries, with inference on demand.
 
     Inference rules whose output no pattern can match are not run: a fixpoint is only started for a query that sees it.
+    `max_pairs` raises before a quadratic rule (exactMatch, matching by host) makes more pairs.
     """
 
-    def __init__(self, store: TripleStore, inference: Inference = Inference.NONE, authority: Authority = Authority.NONE, optional: str = "progressive"):
-        self.store, self.inference, self.authority, self.optional = store, inference, authority, optional
+    def __init__(self, store: TripleStore, inference: Inference = Inference.NONE, authority: Authority = Authority.NONE, optional: str = "progressive", max_pairs: int | None = None):
+        self.store, self.inference, self.authority, self.optional, self.max_pairs = store, inference, authority, optional, max_pairs
 
     def execute(self, text: str, trace: bool = False) -> QueryResult:
         return self.execute_parsed(parse(text), trace)
@@ -48,7 +49,7 @@ class Engine:
         return self.execute(text).bindings._jdf.queryExecution().toString()
 
     def _scan(self):
-        rules = branches(self.inference, self.authority)
+        rules = branches(self.inference, self.authority, self.max_pairs)
         if not rules:
             return self.store.all
         done: dict[int, DataFrame] = {}

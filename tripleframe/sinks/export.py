@@ -27,12 +27,23 @@ def graph_json(g: GraphView) -> DataFrame:
     return out.select(F.to_json(F.struct("*")).alias("json"))
 
 
+def graph_lines(g: GraphView) -> DataFrame:
+    """(kind, json): an object for each node and each edge, for graphs of any size."""
+    rows = [df.select(F.lit(kind).alias("kind"), F.to_json(F.struct("*")).alias("json")) for kind, df in (("node", g.nodes), ("edge", g.edges))]
+    return rows[0].unionByName(rows[1])
+
+
 def report_json(report: Report) -> str:
     issues = [json.loads(x) for x in report.ordered().toJSON().collect()]
     return json.dumps({"total_concepts": report.total_concepts, "total_schemes": report.total_schemes, "issues": issues, "stats": {r["type"]: r["n"] for r in report.stats().collect()}}, ensure_ascii=False)
 
 
-def report_text(report: Report) -> str:
+def report_text(report: Report, verbose: bool = False, quiet: bool = False) -> str:
+    """A line for each issue; `verbose` adds confidence and context, `quiet` leaves only the totals."""
     rows = report.ordered().collect()
-    head = [f"Concepts: {report.total_concepts}", f"Schemes: {report.total_schemes}", f"Issues: {len(rows)}"]
-    return "\n".join([*head, *(f"[{r.severity}] {r.type}: {r.subject}: {r.message}" for r in rows)]) + "\n"
+    lines = [f"Concepts: {report.total_concepts}", f"Schemes: {report.total_schemes}", f"Issues: {len(rows)}"]
+    for r in rows if not quiet else ():
+        lines.append(f"[{r.severity}] {r.type}: {r.subject}: {r.message}")
+        if verbose:
+            lines += [f"    confidence: {r.confidence:g}", *(f"    {k}: {v}" for k, v in sorted((r.context or {}).items()))]
+    return "\n".join(lines) + "\n"
