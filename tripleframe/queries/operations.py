@@ -35,6 +35,7 @@ VOCABULARY = [
     Fact("nation", NATION, SKOS.closeMatch, "urn:n:{n_nationkey}"),
     Fact("region", E + "region/{r_regionkey}", SKOS.hasTopConcept, E + "nation/{r_regionkey}", where="r_regionkey < 3"),
     Fact("supplier", SUPPLIER, TYPE, SKOS.Collection, where="s_suppkey % 2 = 0"),
+    Fact("region", E + "region/{r_regionkey}", TYPE, SKOS.Collection, where="r_regionkey = 2"),
 ]
 MATCHES = [
     Fact("supplier", SUPPLIER, SKOS.exactMatch, E + "nation/{s_nationkey}"),
@@ -219,7 +220,7 @@ OPERATIONS: dict[str, tuple[Run, str]] = {
     "metadata_classes": (lambda s, d: metadata.classes(facts([*CLASSES[4:6], *CLASSES], s, d)).select("uri", "name", "label", "description", F.array_join("super_classes", ",").alias("supers")), cte(CLASSES) + f"SELECT s AS uri, regexp_extract(s, '([^#/]*)$', 1) AS name, coalesce((SELECT max(o) FROM t u WHERE u.s = c.s AND p = '{RDFS.label}'), '') AS label, coalesce((SELECT max(o) FROM t u WHERE u.s = c.s AND p = '{RDFS.comment}'), '') AS description, (SELECT string_agg(regexp_extract(o, '([^#/]*)$', 1), ',' ORDER BY o) FROM t u WHERE u.s = c.s AND p = '{RDFS.subClassOf}') AS supers FROM (SELECT DISTINCT s FROM t WHERE p = '{TYPE}' AND o IN ('{OWL.Class}', '{RDFS.Class}')) c"),
     "metadata_properties": (lambda s, d: metadata.properties(facts(CLASSES, s, d)).select("uri", "label", "is_datatype", F.element_at("domain", 1).alias("domain"), F.element_at("range", 1).alias("range")), "SELECT 'http://example.org/supplier/' || s_suppkey AS uri, s_name AS label, false AS is_datatype, 'http://example.org/nation/' || s_nationkey AS domain, 'http://example.org/trade' AS range FROM supplier"),
     "metadata_schemes": (lambda s, d: metadata.schemes(facts(VOCABULARY, s, d)).select("uri", F.array_join("top_concepts", ",").alias("tops")), "SELECT 'http://example.org/region/' || r_regionkey AS uri, CASE WHEN r_regionkey < 3 THEN 'http://example.org/nation/' || r_regionkey ELSE '' END AS tops FROM region"),
-    "metadata_search": (lambda s, d: metadata.search(facts(CLASSES, s, d), "AN").select("kind", "uri"), "SELECT 'class' AS kind, 'http://example.org/nation/' || n_nationkey AS uri FROM nation WHERE contains(lower(n_name), 'an') UNION ALL SELECT 'property', 'http://example.org/supplier/' || s_suppkey FROM supplier WHERE contains(lower(s_name), 'an')"),
+    "metadata_search": (lambda s, d: metadata.search(facts(CLASSES, s, d), "ER#00000000").select("kind", "uri"), "SELECT 'class' AS kind, 'http://example.org/nation/' || n_nationkey AS uri FROM nation WHERE contains(lower(n_name), 'er#00000000') UNION ALL SELECT 'property', 'http://example.org/supplier/' || s_suppkey FROM supplier WHERE contains(lower(s_name), 'er#00000000')"),
     "metadata_counts": (lambda s, d: metadata.counts(facts(CLASSES, s, d)), cte(CLASSES) + "SELECT 'classes' AS what, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n UNION ALL SELECT 'properties', count(*) FROM supplier UNION ALL SELECT 'schemes', 0 UNION ALL SELECT 'triples', count(*) FROM t"),
     "read_turtle": (lambda s, d: _parsed(_turtle_text(s, d), turtle.parse_triples), f"WITH n AS (SELECT 'http://example.org/nation/' || n_nationkey AS s, n_name, n_nationkey FROM nation) SELECT s AS subject, '{TYPE}' AS predicate, '{V}Nation' AS object, NULL AS language, NULL AS datatype FROM n UNION ALL SELECT s, '{V}name', n_name, 'en', '{RDF.langString}' FROM n UNION ALL SELECT s, '{V}name', lower(n_name), NULL, '{XSD.string}' FROM n UNION ALL SELECT s, '{V}key', CAST(n_nationkey AS VARCHAR), NULL, '{XSD.decimal}' FROM n"),
     "read_rdfxml": (lambda s, d: _parsed(_xml_text(s, d), rdfxml.parse_triples), f"WITH n AS (SELECT 'http://example.org/nation/' || n_nationkey AS s, n_name, n_nationkey, n_regionkey FROM nation) SELECT s AS subject, '{TYPE}' AS predicate, '{V}Nation' AS object, NULL AS language, NULL AS datatype FROM n UNION ALL SELECT s, '{V}name', n_name, 'en', '{RDF.langString}' FROM n UNION ALL SELECT s, '{V}key', CAST(n_nationkey AS VARCHAR), NULL, '{XSD.integer}' FROM n UNION ALL SELECT s, '{V}inRegion', 'http://example.org/region/' || n_regionkey, NULL, NULL FROM n"),

@@ -68,6 +68,29 @@ def _containers(store: TripleStore, spark: SparkSession, sf_dir: str) -> None:
     )))
 
 
+def _nations(store: TripleStore, spark: SparkSession, sf_dir: str, name: str, **columns) -> None:
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    given = {"subject": F.concat(F.lit(E + "nation/"), F.col("n_nationkey").cast("string")), "is_literal": F.lit(True)} | columns
+    store.register(name, triples(n.select(*[c.alias(k) for k, c in given.items()])))
+
+
+def _blanks(store: TripleStore, spark: SparkSession, sf_dir: str) -> None:
+    """Blank nodes that lead to blank nodes."""
+    of = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    _nations(store, spark, sf_dir, "blanks", subject=of("_:n", "n_nationkey"), predicate=F.lit(V + "near"), object=of("_:r", "n_regionkey"), is_literal=F.lit(False))
+
+
+def _spoken(store: TripleStore, spark: SparkSession, sf_dir: str) -> None:
+    """Names with a language."""
+    _nations(store, spark, sf_dir, "spoken", predicate=F.lit(V + "said"), object=F.col("n_name"), language=F.when(F.col("n_nationkey") % 2 == 0, "en").otherwise("fr"))
+
+
+def _amounts(store: TripleStore, spark: SparkSession, sf_dir: str) -> None:
+    """Numbers in the forms that numbers have, and a word."""
+    forms = F.array(*map(F.lit, ("inf", "nan", "0x1.8p1", "1e2", "-.5", "none")))
+    _nations(store, spark, sf_dir, "amounts", predicate=F.lit(V + "amount"), object=F.element_at(forms, (F.col("n_nationkey") % 6 + 1).cast("int")))
+
+
 P, N, A, S = V + "placedBy", V + "inNation", V + "acctbal", V + "segment"
 NAME, REGION = V + "name", V + "inRegion"
 
@@ -98,17 +121,18 @@ SELECTS: dict[str, Query] = {
     "bgp_repeated_variable": Query("SELECT ?x ?y WHERE { ?x skos:related ?y . ?y skos:related ?y . }", "SELECT a.s AS x, a.o AS y FROM u a JOIN u b ON b.s = a.o AND b.o = a.o", (SKOS.related,), extend=lambda st, sp, d: st.register("loop", st.match(predicate=SKOS.related).selectExpr("object as subject", "predicate", "object").distinct()), more="u AS (SELECT s, o FROM t UNION ALL SELECT DISTINCT o, o FROM t)"),
     "bgp_star_triangle": Query(
         "SELECT ?l ?p ?s WHERE { ?l v:ofPart ?p . ?l v:bySupplier ?s . ?s v:inNation <http://example.org/nation/3> . ?p v:brand 'Brand#12' }",
-        "SELECT a.s AS l, a.o AS p, b.o AS s FROM t a JOIN t b ON a.s = b.s JOIN t c ON c.s = b.o JOIN t d ON d.s = a.o WHERE a.p = '%s' AND b.p = '%s' AND c.p = '%s' AND c.o = 'http://example.org/nation/3' AND d.p = '%s' AND d.o = 'Brand#12'" % _v("ofPart", "bySupplier", "inNation", "brand"), _v("ofPart", "bySupplier", "inNation", "brand"),
+        "SELECT 'http://example.org/li/' || l_orderkey || '-' || l_linenumber AS l, 'http://example.org/part/' || p_partkey AS p, 'http://example.org/supplier/' || s_suppkey AS s "
+        "FROM lineitem a JOIN (SELECT l_orderkey, l_linenumber, l_suppkey AS k FROM lineitem) b USING (l_orderkey, l_linenumber) JOIN part ON l_partkey = p_partkey JOIN supplier ON k = s_suppkey WHERE s_nationkey = 3 AND p_brand = 'Brand#12'", (REGION,),
     ),
     "select_all_variables": Query("SELECT * WHERE { ?n v:inRegion ?r . OPTIONAL { ?n v:name ?name } }", "SELECT a.s AS n, a.o AS r, b.o AS name FROM t a LEFT JOIN t b ON a.s = b.s AND b.p = '%s' WHERE a.p = '%s'" % (NAME, REGION), (NAME, REGION)),
-    "pattern_constant_subject": Query("SELECT ?p ?o WHERE { <http://example.org/nation/7> ?p ?o }", "SELECT p, o FROM t WHERE s = 'http://example.org/nation/7'", tables=("nation", "region")),
+    "pattern_constant_subject": Query("SELECT ?p ?o WHERE { <http://example.org/nation/7> ?p ?o }", "SELECT p, o FROM t WHERE s = 'http://example.org/nation/7'"),
     "pattern_type_keyword": Query("SELECT ?s WHERE { ?s a skos:ConceptScheme }", "SELECT s FROM t WHERE p = '%s' AND o = '%s'" % (TYPE, SKOS.ConceptScheme), (TYPE,)),
     "pattern_lists": Query(
         "SELECT ?c ?n WHERE { ?c v:segment 'BUILDING' ; v:name ?n . ?c v:inNation e:nation/1 , ?other . }".replace("e:nation/1", "<http://example.org/nation/1>"),
         "SELECT 'http://example.org/customer/' || c_custkey AS c, c_name AS n FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 1", (REGION,),
     ),
     "pattern_any_slot": Query("SELECT ?o ?item WHERE { ?o fx:anySlot ?item . ?o v:status 'F' }", "SELECT 'http://example.org/order/' || l_orderkey AS o, 'http://example.org/part/' || l_partkey AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'", (REGION,), extend=_containers),
-    "filter_cardinal": Query("SELECT ?o ?slot WHERE { ?o ?slot ?item . FILTER(fx:cardinal(?slot) = '7') }", "SELECT 'http://example.org/order/' || l_orderkey AS o, '%s_7' AS slot FROM lineitem WHERE l_linenumber = 7" % RDF, tables=("region",), extend=_containers),
+    "filter_cardinal": Query("SELECT ?o ?slot WHERE { ?o ?slot ?item . FILTER(fx:cardinal(?slot) = '7') }", "SELECT 'http://example.org/order/' || l_orderkey AS o, '%s_7' AS slot FROM lineitem WHERE l_linenumber = 7" % RDF, (REGION,), extend=_containers),
     "filter_equals": _filter('?n = "ASIA"', "o = 'ASIA'"),
     "filter_not_equals": _filter('?n != "ASIA"', "o <> 'ASIA'"),
     "filter_not_equals_unbound": Query("SELECT ?d WHERE { ?d v:lang 'fr' . OPTIONAL { ?d v:quality ?q } FILTER(?q != '1') }", "SELECT a.s AS d FROM t a LEFT JOIN t b ON a.s = b.s AND b.p = '%s' WHERE a.p = '%s' AND a.o = 'fr' AND coalesce(b.o, '') <> '1'" % _v("quality", "lang"), _v("quality", "lang")),
@@ -122,7 +146,13 @@ SELECTS: dict[str, Query] = {
     "filter_replace": _filter('replace(?n, "AM", "x")', "contains(o, 'AM')"),
     "filter_is_uri": Query("SELECT ?s ?o WHERE { ?s ?p ?o . FILTER(isURI(?o)) }", "SELECT s, o FROM t WHERE regexp_matches(o, '^(https?://|urn:)')"),
     "filter_is_literal": Query("SELECT ?s ?o WHERE { ?s ?p ?o . FILTER(isLiteral(?o)) }", "SELECT s, o FROM t WHERE NOT regexp_matches(o, '^(https?://|urn:)')"),
-    "filter_is_blank": Query("SELECT ?s ?o WHERE { ?s ?p ?o . FILTER(isBlank(?o)) }", "SELECT s, o FROM t WHERE starts_with(o, '_:')"),
+    "filter_is_blank": Query("SELECT ?s ?o WHERE { ?s ?p ?o . FILTER(isBlank(?o)) }", "SELECT s, o FROM t WHERE starts_with(o, '_:') UNION ALL SELECT '_:n' || n_nationkey, '_:r' || n_regionkey FROM nation", extend=_blanks),
+    "filter_lang": Query("SELECT ?n ?l WHERE { ?n v:said ?l . FILTER(lang(?l) = 'en') }", "SELECT 'http://example.org/nation/' || n_nationkey AS n, n_name AS l FROM nation WHERE n_nationkey % 2 = 0", (REGION,), extend=_spoken),
+    "filter_concat": _filter('concat(?n, "!") = "ASIA!"', "o = 'ASIA'"),
+    "filter_seconds": Query("SELECT ?x ?d WHERE { ?x v:ts ?d . FILTER(seconds(?d) = '15') }", "SELECT s AS x, o AS d FROM t WHERE CAST(second(CAST(o AS TIMESTAMP)) AS INTEGER) = 15", _v("ts")),
+    "agg_number_forms": Query("SELECT ?n (SUM(?x) AS ?total) WHERE { ?n v:amount ?x } GROUP BY ?n", "SELECT 'http://example.org/nation/' || n_nationkey AS n, CASE n_nationkey % 6 WHEN 0 THEN '+Inf' WHEN 1 THEN 'NaN' WHEN 2 THEN '3' WHEN 3 THEN '100' WHEN 4 THEN '-0.5' ELSE '0' END AS total FROM nation", (REGION,), extend=_amounts),
+    "agg_distinct_rows": Query("SELECT DISTINCT ?s (COUNT(?c) AS ?n) WHERE { ?c v:segment ?s } GROUP BY ?s", "SELECT DISTINCT o AS s, CAST(count(*) AS VARCHAR) AS n FROM t GROUP BY o", (S,)),
+    "agg_min_max_distinct": Query("SELECT ?b (MIN(DISTINCT ?s) AS ?least) (MAX(DISTINCT ?s) AS ?most) WHERE { ?p v:brand ?b . ?p v:size ?s } GROUP BY ?b", "SELECT p_brand AS b, CAST(min(p_size) AS VARCHAR) AS least, CAST(max(p_size) AS VARCHAR) AS most FROM part GROUP BY 1", (REGION,)),
     "filter_str": _filter('str(?n, "ASIA")', "o = 'ASIA'"),
     "filter_substr": _filter("substr(?n, 10)", "10 < strlen(o)"),
     "filter_strlen": _filter("strlen(?n) > 17", "length(o) > 17"),
