@@ -78,9 +78,12 @@ class Index:
         self.window = np.cumsum([0, *(len(c) for c in cuts)])
         both = np.concatenate([np.zeros((0, 2), np.int64), *cuts])
         self.start, self.length = both[:, 0].astype(np.int32), both[:, 1].astype(np.int32)
+        n = np.arange(self.length.max(initial=0) + 1)
+        self.most = np.minimum((ERRORS * n).astype(np.int64), np.maximum((n - Q) // Q, 0))
+        self.shared = n - Q + 1 - Q * self.most
         self.fewest = np.minimum.reduceat(self.least(np.arange(len(both))), self.window[:-1]) if long else np.zeros(0, np.int64)
-        # a bit for each 1/16 of a gram: what is not in it is in no item
-        self.bits = int(np.clip(np.ceil(np.log2(16 * max(len(code), 1))), 10, 32))
+        # 16 bits for each gram, 2^23 at least: what is not in it is in no item
+        self.bits = int(np.clip(np.ceil(np.log2(16 * max(len(code), 1))), 23, 32))
         self.filter = np.zeros(1 << self.bits - 3, np.uint8)
         np.bitwise_or.at(self.filter, *self._bit(self.code))
 
@@ -88,14 +91,13 @@ class Index:
         k = code >> np.uint32(32 - self.bits)
         return k >> np.uint32(3), np.uint8(1) << (k & np.uint32(7)).astype(np.uint8)
 
-    def edits(self, k: np.ndarray) -> np.ndarray:
+    def edits(self, k):
         """The most edits of passages."""
-        n = self.length[k].astype(np.int64)
-        return np.minimum((ERRORS * n).astype(np.int64), np.maximum((n - Q) // Q, 0))
+        return self.most[self.length[k]]
 
-    def least(self, k: np.ndarray) -> np.ndarray:
+    def least(self, k):
         """q-gram lemma: what is within the edits of a passage shares at least so many of its q-grams."""
-        return self.length[k].astype(np.int64) - Q + 1 - Q * self.edits(k)
+        return self.shared[self.length[k]]
 
     def owner(self, k: int) -> int:
         """The number of the item that a passage is of."""
@@ -149,11 +151,11 @@ class Index:
             ok = hi - lo >= self.least(w)
             for k in np.flatnonzero(ok)[np.argsort((self.length[w] - (hi - lo))[ok], kind="stable")].tolist():
                 s = int(w[k])
-                step = int(self.edits(s)) + 1
+                step, least = int(self.edits(s)) + 1, int(self.least(s))
                 band, count = np.unique((diagonal[lo[k] : hi[k]] + self.start[s]) // step, return_counts=True)
                 each = dict(zip(band.tolist(), count.tolist()))
                 for x in sorted({*each, *(y - 1 for y in each)}):
-                    if each.get(x, 0) + each.get(x + 1, 0) >= self.least(s):
+                    if each.get(x, 0) + each.get(x + 1, 0) >= least:
                         yield d, s, x * step
 
     def words(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
