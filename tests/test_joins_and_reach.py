@@ -160,3 +160,26 @@ def test_forms_of_the_report(spark):
     assert order == [("error", "invalid_concept_scheme"), ("warning", "multiple_preferred_labels"), ("info", "missing_notation")]
     typed = triples_of(spark, [(EX + "c", TYPE, SKOS.Concept)])
     assert {x.type for x in Validator(typed).issues().collect()} == {"missing_preferred_label", "missing_notation", "orphan_concept"}
+
+
+def test_functions_and_options_of_the_engine(spark):
+    rows = [(EX + "a", EX + "name", "Anna", True), (EX + "b", EX + "name", "Bo", True)]
+    engine = Engine(store_of(spark, rows))
+    engine.register_function("isPalindrome", lambda c: F.lower(c) == F.reverse(F.lower(c)))
+    engine.register_function("firstOf", lambda c, d: F.substr(F.concat(c, d), F.lit(1), F.lit(1)))
+    assert [r["n"] for r in ask(spark, engine, "SELECT ?n WHERE { ?x :name ?n . FILTER(isPalindrome(?n)) }")] == ["Anna"]
+    assert [r["n"] for r in ask(spark, engine, "SELECT ?n WHERE { ?x :name ?n . FILTER(!isPalindrome(?n) && firstOf(?n, 'x') = 'B') }")] == ["Bo"]
+    with pytest.raises(ValueError):
+        Engine(store_of(spark, rows)).execute("SELECT ?n WHERE { ?x ?p ?n . FILTER(isPalindrome(?n)) }")
+    assert engine.set(optional="standard", max_pairs=5) is engine and (engine.optional, engine.max_pairs) == ("standard", 5)
+    with pytest.raises(TypeError):
+        engine.set(colour=1)
+
+
+def test_lines_of_nodes_and_inconsistencies(spark):
+    said = statements(spark, ":a a skos:Concept ; skos:prefLabel 'x' ; skos:broader :b . :b a skos:Concept ; skos:broader :a .")
+    assert sorted(r.text for r in Hierarchy(said).shown().collect()) == [f'concept {EX}a "x" < 1', f"concept {EX}b < 1"]
+    engine = rules.RuleEngine(said, "v.ttl")
+    engine.run()
+    text = [r.text for r in rules.shown_inconsistencies(engine.inconsistencies).collect()]
+    assert f"[cycle] cycle through {EX}a" in text and any(t.startswith("[broaderAndNarrower] ") and "[v.ttl:" in t for t in text)

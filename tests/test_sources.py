@@ -127,6 +127,10 @@ def test_sinks(spark, tmp_path):
     pages = Renderer(t, "My <title>").render(str(tmp_path / "site"))
     assert "viz/graph.json" in pages and "what &lt;it&gt; is" in (tmp_path / "site/classes.html").read_text()
     assert json.loads((tmp_path / "site/viz/graph.json").read_text())["edges"]
+    drawn = json.loads("".join(export.graph_parts(GraphView(t))))
+    once = json.loads(export.graph_json(GraphView(t)).first()[0])
+    order = lambda g: {k: sorted(v, key=json.dumps) for k, v in g.items()}
+    assert order(drawn) == order(once)
     report = Validator(t).validate()
     assert json.loads(export.report_json(report))["stats"]["missing_notation"] == 1 and "[warning] orphan_concept" in export.report_text(report)
     assert set(json.loads(export.graph_json(GraphView(t)).first()[0])) == {"nodes", "edges", "namespaces", "types", "predicates"}
@@ -150,3 +154,29 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out) == {"x": EX + "c"}
     assert main(["graph", str(f), "--imports"], spark) == 0 and json.loads(capsys.readouterr().out)["edges"]
     assert main(["site", str(f), "--folder", str(tmp_path / "out")], spark) == 0 and (tmp_path / "out/index.html").exists()
+
+
+def test_pages_of_classes_and_properties(spark, tmp_path):
+    text = f"""@prefix owl: <http://www.w3.org/2002/07/owl#> .\n@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n{P}
+    :A a owl:Class ; rdfs:label "an <A>" . :B a owl:Class ; rdfs:subClassOf :A ; rdfs:comment "of B" . :p a owl:DatatypeProperty ; rdfs:domain :B ; rdfs:range :A ."""
+    pages = Renderer(reader.triples_of_text(spark, text)).render(str(tmp_path))
+    assert {"classes.html", "properties.html", "viz/index.html"} <= set(pages)
+    classes, properties, graph = ((tmp_path / p).read_text() for p in ("classes.html", "properties.html", "viz/index.html"))
+    assert '<section id="A"><h2>an &lt;A&gt;</h2>' in classes and '<dt>Subclasses</dt><dd><a href="classes.html#B">B</a></dd>' in classes
+    assert '<dt>Properties</dt><dd><a href="properties.html#p">p</a></dd>' in classes and '<dt>Superclasses</dt><dd><a href="classes.html#A">A</a></dd>' in classes
+    assert "datatype property" in properties and '<dt>Domain</dt><dd><a href="classes.html#B">B</a></dd>' in properties
+    assert 'href="../index.html"' in graph and "<svg" in graph and 'name="namespace"' in graph
+
+
+def test_the_service_streams(spark):
+    import threading
+    import urllib.request
+
+    t = reader.triples_of_text(spark, P + " ".join(f":s{i} :p :o{i} ." for i in range(50)))
+    server = Service(spark, t).serve(".", 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{server.server_address[1]}/api/sparql?query=SELECT%20%3Fs%20WHERE%20%7B%20%3Fs%20%3Fp%20%3Fo%20%7D"
+        assert len(json.loads(urllib.request.urlopen(at).read())["bindings"]) == 50
+    finally:
+        server.shutdown()

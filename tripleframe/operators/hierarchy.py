@@ -59,6 +59,14 @@ class Hierarchy:
         own = self.statements.where(F.col("subject") == iri).select("subject", "predicate", F.col("object").alias("value"), F.struct("pos", "seq").alias("said"))
         return kind.join(own, (F.col("iri") == F.col("subject")) & (F.col("at") <= F.col("said"))).select("kind", "predicate", "value")
 
+    def shown(self) -> DataFrame:
+        """(text): each node as a line: its kind, its address, its preferred labels, and how many nodes are broader."""
+        label = self.facts(SKOS.prefLabel).groupBy("iri").agg(F.array_join(F.array_sort(F.collect_set("value")), ", ").alias("labels"))
+        up = self.broader.groupBy(F.col("src").alias("iri")).agg(F.countDistinct("dst").alias("n"))
+        kind = self.nodes.groupBy("iri").agg(F.min_by("kind", "at").alias("kind"))
+        said = F.concat(F.col("kind"), F.lit(" "), F.col("iri"), F.coalesce(F.concat(F.lit(" \""), F.col("labels"), F.lit("\"")), F.lit("")))
+        return kind.join(label, "iri", "left").join(up, "iri", "left").select(F.concat(said, F.coalesce(F.concat(F.lit(" < "), F.col("n").cast("string")), F.lit(""))).alias("text"))
+
     def adding(self, statements: DataFrame) -> Hierarchy:
         """The hierarchy of these statements as well."""
         return Hierarchy(self.statements.unionByName(statements))

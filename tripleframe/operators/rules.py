@@ -142,3 +142,10 @@ def shown(facts: DataFrame) -> DataFrame:
     where = F.when(p.isNotNull(), F.format_string(" [%s:%d:%d]", p["source_file"], p["line"], p["column"])).otherwise("")
     kind = F.when(F.col("derived"), " (derived)").otherwise("")
     return facts.select(F.concat(F.col("subject"), F.lit(" "), F.col("predicate"), F.lit(" "), F.col("object"), kind, where).alias("text"))
+
+
+def shown_inconsistencies(rows: DataFrame) -> DataFrame:
+    """(text): each inconsistency as a line, with where it comes from."""
+    p = F.col("provenance")
+    where = F.when(p.isNotNull(), F.format_string(" [%s:%d:%d]", p["source_file"], p["line"], p["column"])).otherwise("")
+    return rows.select(F.concat(F.lit("["), F.col("type"), F.lit("] "), F.col("message"), where).alias("text"))

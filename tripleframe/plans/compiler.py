@@ -33,10 +33,10 @@ class Rows:
 
 
 class Compiler:
-    def __init__(self, spark: SparkSession, scan: Scan, optional: str = "progressive"):
+    def __init__(self, spark: SparkSession, scan: Scan, optional: str = "progressive", functions: dict[str, Callable[..., Column]] | None = None):
         if optional not in ("progressive", "standard"):
             raise ValueError("optional is progressive or standard")
-        self.spark, self.scan, self.optional = spark, scan, optional
+        self.spark, self.scan, self.optional, self.functions = spark, scan, optional, functions or {}
         self.numbers: dict[str, int] = {}
         self.asked: set[str] = set()
         self.fresh = 0
@@ -156,7 +156,7 @@ class Compiler:
         for o in g.optionals:
             rows = self.optionally(rows, o)
         for f in g.filters:
-            rows.df = rows.df.where(Expressions(self.spark, rows.names, rows.extras).truth(f))
+            rows.df = rows.df.where(Expressions(self.spark, rows.names, rows.extras, self.functions).truth(f))
         return rows
 
     def joined(self, a: Rows | None, b: Rows) -> Rows:
@@ -190,7 +190,7 @@ class Compiler:
         rows, key = self.keyed(rows)
         both = self.join(Rows(rows.df, {**rows.names, "": key}, rows.maybe, rows.extras), right)
         for f in o.filters:
-            both.df = both.df.where(Expressions(self.spark, both.names, both.extras).truth(f))
+            both.df = both.df.where(Expressions(self.spark, both.names, both.extras, self.functions).truth(f))
         bare = rows.df.join(both.df.select(key).distinct(), key, "left_anti")
         out = both.df.unionByName(bare, allowMissingColumns=True).drop(key)
         names = {v: c for v, c in both.names.items() if v}

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleframe.operators.skos import Authority, Inference, branches
 from tripleframe.plans.compiler import Compiler
 from tripleframe.plans.ir import Iri, Select
 from tripleframe.plans.parser import parse
-from tripleframe.store import TripleStore
+from tripleframe.store import Store
 
 
 @dataclass
@@ -34,15 +35,28 @@ class Engine:
     `max_pairs` raises before a quadratic rule (exactMatch, matching by host) makes more pairs.
     """
 
-    def __init__(self, store: TripleStore, inference: Inference = Inference.NONE, authority: Authority = Authority.NONE, optional: str = "progressive", max_pairs: int | None = None):
+    def __init__(self, store: Store, inference: Inference = Inference.NONE, authority: Authority = Authority.NONE, optional: str = "progressive", max_pairs: int | None = None):
+        self.functions: dict[str, Callable[..., Column]] = {}
         self.store, self.inference, self.authority, self.optional, self.max_pairs = store, inference, authority, optional, max_pairs
 
+    def set(self, **options) -> Engine:
+        """Change inference, authority, optional or max_pairs; returns the engine."""
+        for name, value in options.items():
+            if name not in ("inference", "authority", "optional", "max_pairs"):
+                raise TypeError(f"no option {name}")
+            setattr(self, name, value)
+        return self
+
+    def register_function(self, name: str, function: Callable[..., Column]) -> None:
+        """A function for filters, of string columns to a column. As a condition it holds unless it is false, "" or null."""
+        self.functions[name.lower()] = function
+
     def execute(self, text: str, trace: bool = False) -> QueryResult:
-        return self.execute_parsed(parse(text), trace)
+        return self.execute_parsed(parse(text, self.functions), trace)
 
     def execute_parsed(self, q: Select, trace: bool = False) -> QueryResult:
         scan = self._scan()
-        out = Compiler(self.store.spark, scan, self.optional).select(q)
+        out = Compiler(self.store.spark, scan, self.optional, self.functions).select(q)
         return QueryResult(out, self._trace(q, scan) if trace else None)
 
     def explain(self, text: str) -> str:

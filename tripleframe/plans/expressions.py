@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ def pattern_ok(spark: SparkSession, pattern: str) -> bool:
 class Expressions:
     """`names`: the columns of the variables in scope; an unbound variable is ""."""
 
-    def __init__(self, spark: SparkSession, names: dict[str, str], extras: dict[str, dict[str, str]]):
-        self.spark, self.names, self.extras = spark, names, extras
+    def __init__(self, spark: SparkSession, names: dict[str, str], extras: dict[str, dict[str, str]], functions: dict[str, Callable[..., Column]] | None = None):
+        self.spark, self.names, self.extras, self.functions = spark, names, extras, functions or {}
 
     def raw(self, name: str) -> Column:
         return F.col(self.names[name]) if name in self.names else F.lit(None).cast("string")
@@ -42,6 +43,8 @@ class Expressions:
         if isinstance(e, Iri | Literal):
             return F.lit(e.value)
         a = [self.value(x) for x in e.args]
+        if e.name in self.functions:
+            return F.coalesce(self.functions[e.name](*a).cast("string"), F.lit(""))
         match e.name:
             case "str":
                 return a[0]
@@ -76,6 +79,8 @@ class Expressions:
         """The expression as a condition, never null. Functions of strings have a condition of their own."""
         if not isinstance(e, Call):
             return self.value(e) != ""
+        if e.name in self.functions:
+            return ~self.value(e).isin("", "false")
         match e.name:
             case "&&":
                 return self.truth(e.args[0]) & self.truth(e.args[1])

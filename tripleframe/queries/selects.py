@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleframe.mapping import E, V, Mapping, star
+from tripleframe.mapping import E, V, star, star_facts
 from tripleframe.model import RDF, SKOS, TYPE, XSD, triples
 from tripleframe.operators.skos import Authority, Inference
 from tripleframe.plans.engine import Engine
@@ -20,13 +20,12 @@ PREFIX = f"PREFIX v: <{V}> PREFIX e: <{E}> PREFIX skos: <{SKOS}> PREFIX rdf: <{R
 
 @dataclass
 class Query:
-    """`uses`: predicates in the SQL's t (all of `tables` if empty); `tables`: limits the mapping; `rounded`: result
+    """`uses`: predicates in the SQL's t (all if empty); `rounded`: result
     columns compared as numbers with so many places, as the order of a float sum differs between engines."""
 
     text: str
     sql: str
     uses: tuple[str, ...] = ()
-    tables: tuple[str, ...] = ()
     rounded: dict[str, int] = field(default_factory=dict)
     optional: str = "progressive"
     inference: Inference = Inference.NONE
@@ -34,13 +33,9 @@ class Query:
     more: str = ""
     extend: Callable[[TripleStore, SparkSession, str], None] | None = None
 
-    def mapping(self, spark: SparkSession, sf_dir: str) -> Mapping:
-        m = star(spark, sf_dir)
-        return Mapping([f for f in m.facts if f.table in self.tables], m.tables) if self.tables else m
-
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         store = TripleStore(spark)
-        store.register("star", self.mapping(spark, sf_dir))
+        store.register("star", star(spark, sf_dir))
         if self.extend:
             self.extend(store, spark, sf_dir)
         df = Engine(store, self.inference, self.authority, self.optional).execute(PREFIX + self.text).bindings
@@ -49,10 +44,7 @@ class Query:
         return df
 
     def oracle(self) -> str:
-        from tripleframe.mapping import star_facts
-
-        facts = [f for f in star_facts() if not self.tables or f.table in self.tables]
-        return cte(facts, *self.uses, more=self.more) + self.sql
+        return cte(star_facts(), *self.uses, more=self.more) + self.sql
 
 
 def _v(*names: str) -> tuple[str, ...]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,17 @@ def graph_json(g: GraphView) -> DataFrame:
     return out.select(F.to_json(F.struct("*")).alias("json"))
 
 
+def graph_parts(g: GraphView) -> Iterator[str]:
+    """The text of graph_json in parts: a node or edge at a time is in memory."""
+    lists = {"nodes": g.nodes.toJSON, "edges": g.edges.toJSON, "namespaces": g.namespaces, "types": g.types, "predicates": g.predicates}
+    for i, (name, rows) in enumerate(lists.items()):
+        yield f"{',' if i else '{'}{json.dumps(name)}:["
+        for k, row in enumerate(rows().toLocalIterator()):
+            yield f"{',' if k else ''}{row if i < 2 else json.dumps(row[0], ensure_ascii=False)}"
+        yield "]"
+    yield "}"
+
+
 def graph_lines(g: GraphView) -> DataFrame:
     """(kind, json): an object for each node and each edge, for graphs of any size."""
     rows = [df.select(F.lit(kind).alias("kind"), F.to_json(F.struct("*")).alias("json")) for kind, df in (("node", g.nodes), ("edge", g.edges))]

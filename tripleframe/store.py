@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,14 @@ from tripleframe.mapping import Mapping
 from tripleframe.model import TRIPLE_SCHEMA, triples
 
 
+class Store(Protocol):
+    """What the engine asks of a store."""
+
+    spark: SparkSession
+
+    def all(self, predicate: str | None = None) -> DataFrame: ...
+
+
 class TripleStore:
     """A graph is a DataFrame of triples or a Mapping; the store only holds plans. Bags: nothing is deduplicated."""
 
