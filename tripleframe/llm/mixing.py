@@ -19,7 +19,7 @@ BLOCK = 2048
 SHARD = 1024
 SEED = 20240607
 #: tokens of a bucket of documents, which are packed together
-BUCKET = 1 << 22
+BUCKET = 1 << 21
 #: sources whose bucket counts are sent to all tasks; those of more are joined
 SOURCES = 1 << 16
 #: shards whose draws are summed together
@@ -217,6 +217,7 @@ def mix_sources(
     # one group of shards is enough work for a task, which partitions that are joined by their few bytes would not show
     taken = first.repartition(max(1, min(groups, 1 << 14)), "g").mapInArrow(slots, "shard long, slot int, source string, epoch int, block long")
     places = packed.select("source", "bucket", F.posexplode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)).alias("seq", "block"))
-    placed = taken.join(places, ["source", "block"]).select("source", "bucket", F.lit(1).alias("kind"), "shard", "slot", "epoch", "block", "seq")
+    # both sides have a row for each block, which an estimate from the few buckets would not show
+    placed = taken.join(places.hint("merge"), ["source", "block"]).select("source", "bucket", F.lit(1).alias("kind"), "shard", "slot", "epoch", "block", "seq")
     both = inside.select("source", "bucket", F.lit(0).alias("kind"), "doc_id", "h", "tokens").unionByName(placed, allowMissingColumns=True)
     return both.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "kind", F.col("doc_id").asc_nulls_last(), "h").mapInArrow(_fill(block, vocabulary), FILLED)
