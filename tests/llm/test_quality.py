@@ -15,8 +15,8 @@ DOCS, LABELS = "doc_id long, text string", "doc_id long, quality int, toxic int"
 
 def table(rows):
     """Of (text, quality, toxic): what labelled() gives."""
-    columns = [pa.array(range(len(rows)), pa.int64()), pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[k] for r in rows], pa.int32()) for k in (1, 2)]]
-    return pa.Table.from_batches(list(quality._featured([pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "quality", "toxic"])])))
+    columns = [*[pa.array(range(len(rows)), pa.int64())] * 2, pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[k] for r in rows], pa.int32()) for k in (1, 2)]]
+    return pa.Table.from_batches(list(quality._featured([pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "text", "quality", "toxic"])])))
 
 
 @pytest.fixture(scope="module")

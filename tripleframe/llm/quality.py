@@ -16,7 +16,7 @@ BITS = 18
 CHARS = 4
 BASE = 0x100000001B3
 INVERSE = pow(BASE, -1, 1 << 64)
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: of the fit: passes over the rows with their L1, AdaGrad's rate, rows of a batch
 PASSES, RATE, BATCH = ((5, 1e-3), (50, 1e-3), (200, 0.0)), 0.3, 64
 LOWER = np.arange(256, dtype=np.uint8)
@@ -191,10 +191,10 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = [_distinct(t) for t in part.column("text").to_pylist()]
             at = np.cumsum([0, *(len(f) for f, _ in both)])
             feature, weight = (np.concatenate([np.zeros(0, k), *(x[i] for x in both)]) for i, k in enumerate((np.int32, np.float32)))
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "quality", "toxic")], ragged(feature, at), ragged(weight, at)], FEATURED)
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in FEATURED[:4]], ragged(feature, at), ragged(weight, at)], FEATURED)
 
 
-FEATURED = ["doc_id", "quality", "toxic", "feature", "weight"]
+FEATURED = ["h", "doc_id", "quality", "toxic", "feature", "weight"]
 
 
 def fit(rows: pa.Table) -> tuple[Head, Head]:
@@ -216,8 +216,8 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> pa.Table:
     rows = pick(docs, doc_id="long", text="string").where("text is not null").join(F.broadcast(chosen), "doc_id")
     # a doc_id of several rows counts once
     once = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
-    out = once.mapInArrow(_featured, "doc_id long, quality int, toxic int, feature array<int>, weight array<float>")
-    return out.orderBy(*order).toArrow()
+    out = once.withColumn("h", order[0]).mapInArrow(_featured, "h long, doc_id long, quality int, toxic int, feature array<int>, weight array<float>")
+    return out.toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
 
 
 def probabilities(heads: tuple[Head, ...], texts: pa.Array) -> list[np.ndarray]:
