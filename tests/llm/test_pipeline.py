@@ -85,8 +85,9 @@ def test_run_of_odd_tables(spark, tmp_path):
 
 def test_stage_inputs(spark):
     """Nulls, empty tables and extra columns go through every stage."""
-    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, tf_text int"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, tf_text int, `a.b` int, Lang string"
     rows = [(None, "some words here", None, None, None, "k", 1), (1, None, "en", "s", 0, None, None), (2, "", "en", "s", 0, "k", 2), (3, "one two three " * 30, "en", "s", 9, "k", 3), (3, "one two three " * 30, "en", "s", 9, "k", 3)]
+    rows = [(*r, 4, "x") for r in rows]
     for df in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, df, SF)

@@ -38,12 +38,12 @@ def pick(df: DataFrame, **kinds: str) -> DataFrame:
     """
     df = apart(df)
     have = {c.lower(): c for c in df.columns}
-    return df.select(*[(df[have[c]] if c in have else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+    return df.select(*[(F.col(have[c]) if c in have else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
 
 def like(docs: DataFrame, out: DataFrame) -> DataFrame:
     """`out`, made of apart(docs), with the columns of `docs`, in their order."""
-    return out.select(*apart(docs).columns).toDF(*docs.columns)
+    return out.select(*[F.col("`" + c.replace("`", "``") + "`") for c in apart(docs).columns]).toDF(*docs.columns)
 
 
 def private(docs: DataFrame, name: str) -> str:
