@@ -18,12 +18,12 @@ SLICE_BYTES = 16 << 20
 
 
 def apart(df: DataFrame) -> DataFrame:
-    """`df` whose column names also differ without their case: of those that don't, the last keeps its name."""
+    """`df` whose column names also differ without their case: of those that don't, the last keeps its name. Names with
+    dots or backticks, which mapInArrow can't resolve, are replaced, too; see like."""
     last = {c.lower(): i for i, c in enumerate(df.columns)}
-    if len(last) == len(df.columns):
-        return df
-    names = [c if last[c.lower()] == i else f"tf_{i}_{c}" for i, c in enumerate(df.columns)]
-    return df.toDF(*names)
+    plain = [c.replace(".", "_").replace("`", "_") for c in df.columns]
+    names = [c if last[c.lower()] == i and c == p else f"tf_{i}_{p}" for i, (c, p) in enumerate(zip(df.columns, plain))]
+    return df if names == df.columns else df.toDF(*names)
 
 
 def column(df: DataFrame, name: str) -> str:
