@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -11,7 +11,8 @@ import __spark_entry__ as entry
 from tripleframe.mapping import E
 from tripleframe.model import SKOS, triples_of
 from tripleframe.operators import rules
-from tripleframe.operators.skos import exact_match
+from tripleframe.operators.skos import authority_match, exact_match
+from tripleframe.queries.operations import PAGES, facts
 
 #: more suppliers than the 60 that were let through
 SF = "/root/testdata/sf0.01"
@@ -51,6 +52,38 @@ def test_close_match_of_all_suppliers(spark, links):
     assert rows(spark, "skos_close_match", "subject", "object") == sorted(want)
 
 
+def written_out(classes):
+    """All links of (subject, class, copies, links) rows, with their numbers."""
+    by, out = defaultdict(list), Counter()
+    for s, c, n, _ in classes:
+        by[c].append((s, n))
+    for x in by.values():
+        for a, n in x:
+            for b, m in x:
+                out[a, b] += n * (n - 1) if a == b else n * m
+    return +out
+
+
+def test_authority_classes_have_all_links_in_a_row_a_member(spark):
+    got = rows(spark, "skos_authority_match", "subject", "class", "copies", "links")
+    urls = Counter(r.url for r in spark.read.parquet(f"{SF}/pages.parquet").select("url").collect())
+    assert [r[0] for r in got] == sorted(urls)
+    links = written_out(got)
+    host = lambda u: u.split("/")[2]
+    assert links == +Counter({(a, b): n * (n - 1) if a == b else n * m for a, n in urls.items() for b, m in urls.items() if host(a) == host(b)})
+    pairs = authority_match(facts(PAGES, spark, SF)).select("subject", "object").collect()
+    assert Counter(map(tuple, pairs)) == links and sum(r[3] for r in got) == len(pairs)
+
+
+def test_pairs_of_a_class_of_several_pieces(spark):
+    n = 1500
+    df = triples_of(spark, [(f"http://h/{i}", "p", f"http://{'h' if i < 2 else 'g'}/x") for i in range(n)] + [("http://g/1", "p", "x"), ("none", "p", "http://h/1")])
+    made = authority_match(df)
+    assert made.count() == (n + 2) * (n + 1)
+    many = {tuple(r) for r in made.groupBy("subject", "object").count().where("count > 1 or subject = object").collect()}
+    assert many == {(f"http://h/{i}", f"http://h/{j}", (4 if j < 2 else 2) - 2 * (i == j)) for i in (0, 1) for j in range(n)} | {(f"http://h/{i}", f"http://h/{j}", 2) for i in range(2, n) for j in (0, 1)}
+
+
 def test_targets_of_one_subject_and_of_more(spark):
     r = random.Random(11)
     for n in (1, 4, 12):
