@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from tripleframe.model import triples
 from tripleframe.plans.compiler import Compiler
 from tripleframe.plans.ir import Iri
 from tripleframe.plans.parser import QueryError, parse
+from tripleframe.runtime import shared_dir
 
 
 def stream_query(stream: DataFrame, static: DataFrame, text: str, streamed: set[str]) -> DataFrame:
@@ -24,3 +27,13 @@ def stream_query(stream: DataFrame, static: DataFrame, text: str, streamed: set[
         raise QueryError("exactly one pattern is on the stream, and predicates are constant")
     moving, fixed = triples(stream), triples(static)
     return Compiler(stream.sparkSession, lambda p: moving if p in streamed else fixed).select(q)
+
+
+def drained(solutions: DataFrame) -> DataFrame:
+    """What a stream's solutions are to the end of what is there, as a table that executors write in the shared folder, and
+    its log beside it: no row passes the driver. Each call has a table of its own, which stays until the folder goes."""
+    spark = solutions.sparkSession
+    at = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    writer = solutions.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/log")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(solutions.schema).parquet(f"{at}/rows")
