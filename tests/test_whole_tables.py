@@ -11,8 +11,8 @@ import __spark_entry__ as entry
 from tripleframe.mapping import E
 from tripleframe.model import SKOS, triples_of
 from tripleframe.operators import rules
-from tripleframe.operators.skos import authority_match, exact_match
-from tripleframe.queries.operations import PAGES, facts
+from tripleframe.operators.skos import authority_match, close_classes, close_match, exact_match
+from tripleframe.queries.operations import MATCHES, PAGES, facts
 
 #: more suppliers than the 60 that were let through
 SF = "/root/testdata/sf0.01"
@@ -49,7 +49,25 @@ def test_close_match_of_all_suppliers(spark, links):
     for s, d in links[0]:
         by[d].append(s)
     want = [e for s, d in links[0] for e in ((s, d), (d, s))] + [(a, b) for x in by.values() for a in x for b in x if a != b]
-    assert rows(spark, "skos_close_match", "subject", "object") == sorted(want)
+    assert sorted(tuple(r) for r in close_match(facts(MATCHES, spark, SF)).select("subject", "object").collect()) == sorted(want)
+    got = rows(spark, "skos_close_match", "subject", "class", "copies", "links")
+    assert [r[:3] for r in got] == sorted((*e, 1) for e in links[0])
+    found = written_out(got)
+    for s, d, n, _ in got:
+        found.update({(s, d): n, (d, s): n})
+    assert found == Counter(want) and sum(2 * n + k for _, _, n, k in got) == len(want)
+
+
+def test_close_classes_of_copies_and_of_several_targets(spark):
+    r = random.Random(5)
+    for n in (0, 1, 30):
+        edges = [(f"n{r.randrange(4)}", f"n{r.randrange(4)}") for _ in range(n)]
+        df = triples_of(spark, [(s, SKOS.closeMatch, o) for s, o in edges] + [("n0", SKOS.exactMatch, "n1")])
+        got = [tuple(x) for x in close_classes(df).select("subject", "class", "copies", "links").collect()]
+        want = Counter((a, b) for i, (a, x) in enumerate(edges) for j, (b, y) in enumerate(edges) if i != j and x == y)
+        assert {(s, d): c for s, d, c, _ in got} == Counter(edges) and written_out(got) == want and sum(x[3] for x in got) == want.total()
+        direct = [x for s, o in edges for x in ((s, o), (o, s))]
+        assert Counter(map(tuple, close_match(df).select("subject", "object").collect())) == want + Counter(direct)
 
 
 def written_out(classes):
